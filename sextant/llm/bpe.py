@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import code_points, gather, map_batches, slices, span_hashes
+from sextant.llm.common import code_points, gather, map_batches, slices, span_hashes, with_field
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -322,7 +322,7 @@ def encode(df: DataFrame, text: str = "text", to: str = "tokens", vocabulary: st
                 offsets = pa.array(ends.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(ends.astype(np.int32))
                 yield [*(c.slice(a, b - a) for c in batch.columns), pa.ListArray.from_arrays(offsets, pa.array(ids)).cast(pa.list_(pa.field("element", pa.int32())))]
 
-    return map_batches(df, run, df.schema.add(to, "array<int>"))
+    return map_batches(df, run, with_field(df.schema, to, "array<int>"))
 
 
 def decode(df: DataFrame, tokens: str = "tokens", to: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -360,7 +360,7 @@ def decode(df: DataFrame, tokens: str = "tokens", to: str = "decoded", vocabular
                 out.append(table[gather(starts[own], lengths[own])].tobytes().decode("utf-8", "replace"))
             yield [*batch.columns, pa.array(out, pa.string())]
 
-    return map_batches(df, run, df.schema.add(to, "string"))
+    return map_batches(df, run, with_field(df.schema, to, "string"))
 
 
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -68,6 +68,11 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterab
     return df.mapInArrow(run, schema)
 
 
+def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
+    """``schema`` with one more nullable field."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def slices(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of rows of about ``limit`` characters; a longer text is a run of its own."""
     a = size = 0
