@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sextant.session import ship
+
 #: Characters that one numpy pass works on; longer texts are cut at separators and joined again.
 CHUNK_CHARS = 1 << 20
 #: Rows up to which a side of a join is broadcast; beyond, the join shuffles.
@@ -56,6 +58,7 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow where ``make`` yields lists of arrays in the order of ``schema``."""
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
