@@ -163,8 +163,16 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[a:]
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words of the texts, one after another, and each text's offsets among them."""
+@functools.cache
+def digit_classes() -> np.ndarray:
+    return np.fromiter((chr(c).isdigit() for c in range(0x110000)), bool, 0x110000)
+
+
+def words(texts: list[str | None], digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words of the texts, one after another, and each text's offsets among them.
+
+    With ``digits``, every word that has a digit gets that hash.
+    """
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     run: list[str] = []
@@ -174,7 +182,12 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\x00".join(run)
         points = code_points(joined)
         starts, ends = word_spans(points)
-        hashes.append(span_hashes(points, starts, ends))
+        found = span_hashes(points, starts, ends)
+        if digits is not None:
+            sums = np.zeros(len(points) + 1, np.int32)
+            np.cumsum(digit_classes()[points], out=sums[1:])
+            found[sums[ends] > sums[starts]] = np.uint64(digits)
+        hashes.append(found)
         at = np.cumsum([0, *(len(x) + 1 for x in run)])
         np.add.at(counts, np.array(owner, np.int64), np.diff(np.searchsorted(starts, at)))
         run.clear()
@@ -196,6 +209,39 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), offsets
 
 
+def blocks(batches: Iterator[pa.RecordBatch], key: int, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """The batches of a partition that is sorted by column ``key``, in tables that have each key's rows whole."""
+    held: list[pa.RecordBatch] = []
+    size, want = 0, rows
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < want:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        edges = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(edges):
+            end = int(edges[-1]) + 1
+            yield table.slice(0, end)
+            rest = table.slice(end)
+            held, size, want = rest.to_batches(), rest.num_rows, max(rows, 2 * rest.num_rows)
+        else:
+            want = 2 * size
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def run_starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd constant modulo 2**64."""
+    return _powers(1 << max(10, int(n).bit_length()))[0][:n]
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices that lay the runs [start, start + length) end to end."""
     total = int(lengths.sum())
