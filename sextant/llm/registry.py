@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, toxicity
+from sextant.llm import bpe, line_dedup, toxicity
 from sextant.llm.common import read
 
 
@@ -18,8 +18,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe}
+    return {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op5_line_dedup": op5_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
