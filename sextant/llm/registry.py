@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, line_dedup, toxicity
+from sextant.llm import bpe, line_dedup, minhash, toxicity
 from sextant.llm.common import read
 
 
@@ -22,9 +22,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: By name; oracle SQL by the same names, where SQL can express the query.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_bpe": op3_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_minhash": op7_minhash,
+}
+SQL: dict[str, str] = {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op5_line_dedup": op5_line_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
