@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sextant.llm import bpe, decontaminate, line_dedup, minhash, toxicity
+from sextant.llm import bpe, cover_tree, decontaminate, line_dedup, minhash, toxicity, url_filter, warc
 from sextant.llm.common import read
 
 
@@ -14,10 +15,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(read(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -30,15 +39,29 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cover_tree.near_pairs(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id_a", "vec_id_b", F.round("cosine", 4).alias("cosine"))
+
+
 #: By name; oracle SQL by the same names, where SQL can express the query.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash": op7_minhash,
+    "op10_cover_tree": op10_cover_tree,
+}
+SQL: dict[str, str] = {
+    "op4_warc": "SELECT page_id, url, md5(html) AS digest, strlen(html)::INT AS n_bytes FROM pages",
+    "op10_cover_tree": """
+        SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine
+        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+        WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95""",
 }
-SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
