@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import bpe, cover_tree, decontaminate, line_dedup, minhash, toxicity, url_filter, warc
+from sextant.llm import bpe, cover_tree, decontaminate, language_id, line_dedup, minhash, quality, toxicity, url_filter, warc
 from sextant.llm.common import read
 
 
@@ -39,6 +39,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cover_tree.near_pairs(read(spark, sf_dir, "embeddings"))
     return found.select("vec_id_a", "vec_id_b", F.round("cosine", 4).alias("cosine"))
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash": op7_minhash,
+    "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
     "op10_cover_tree": op10_cover_tree,
 }
 SQL: dict[str, str] = {
