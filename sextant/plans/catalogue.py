@@ -1,11 +1,386 @@
-"""The library's own queries and the SQL that gives the same rows."""
+"""The library's own queries and the SQL that gives the same rows.
+
+Every query reads its whole tables. A limit stands only where it is the feature: the k of a search.
+"""
 
 from __future__ import annotations
 
+import functools
+import os
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sextant.arrow import shared_dir
+from sextant.functions import bloom, text, vectors
+from sextant.functions.distance import cos_dist, hamming_dist, l2sq_dist
+from sextant.operators import ann, bm25, embed, knn, quantize, tune
+from sextant.sources import tables, vecs
+from sextant.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, table) under its name."""
+
+    def add(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda name: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
-def queries() -> dict:
-    return {}
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _vector(df: DataFrame, n: int = 0) -> list[float]:
+    """The vector of an id: a query to search with."""
+    return df.where(F.col("vec_id") == n).select("embedding").first().embedding
+
+
+def _rounded(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("vec_id", *more, (F.round("dist", 4) + 0.0).alias("dist"))
+
+
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {})"
+_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_COS = "greatest(0.0, 1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
+_V = "e.embedding::DOUBLE[]"
+
+
+def _near(dist: str, where: str = "true", k: int = 10) -> str:
+    return f"SELECT vec_id, round(d, 4) + 0.0 AS dist FROM (SELECT e.vec_id, {dist} AS d FROM embeddings e, {_Q.format(0)} t WHERE {where}) ORDER BY d, vec_id LIMIT {k}"
+
+
+@query(_near(_L2.format(a=_V, b="t.q")))
+def knn_l2sq(spark, table):
+    return _rounded(knn.knn(table("embeddings"), _vector(table("embeddings")), 10))
+
+
+@query(_near(_COS.format(a=_V, b="t.q")))
+def knn_cos(spark, table):
+    return _rounded(knn.knn(table("embeddings"), _vector(table("embeddings")), 10, "cos"))
+
+
+_INT = "list_transform({}, lambda x: floor(x * 1000)::INT)"
+_HAM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(xor(z[1], z[2]))))"
+
+
+@query(f"SELECT vec_id, d::DOUBLE AS dist FROM (SELECT e.vec_id, {_HAM.format(a=_INT.format(_V), b=_INT.format('t.q'))} AS d FROM embeddings e, {_Q.format(0)} t) ORDER BY d, vec_id LIMIT 10")
+def knn_hamming(spark, table):
+    whole = table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("embedding"))
+    return knn.knn(whole, _vector(whole), 10, "hamming").select("vec_id", "dist")
+
+
+@query(f"""
+    SELECT e.vec_id, round({_L2.format(a=_V, b="t.q")}, 4) + 0.0 AS l2sq, round({_COS.format(a=_V, b="t.q")}, 4) + 0.0 AS cos,
+           {_HAM.format(a=_INT.format(_V), b=_INT.format("t.q"))}::INT AS hamming
+    FROM embeddings e, {_Q.format(0)} t""")
+def distances(spark, table):
+    df = table("embeddings")
+    q = F.broadcast(df.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    ints = lambda c: F.transform(c, lambda x: F.floor(x.cast("double") * 1000).cast("int"))
+    v = F.col("embedding")
+    return df.crossJoin(q).select("vec_id", (F.round(l2sq_dist(v, F.col("q")), 4) + 0.0).alias("l2sq"), (F.round(cos_dist(v, F.col("q")), 4) + 0.0).alias("cos"), hamming_dist(ints(v), ints(F.col("q"))).alias("hamming"))
+
+
+@query(_near(_L2.format(a=_V, b="t.q"), "e.label IN (1, 3)"))
+def knn_filtered(spark, table):
+    return _rounded(knn.knn(table("embeddings"), _vector(table("embeddings")), 10, where="label in (1, 3)"))
+
+
+@query(_near(_L2.format(a=_V, b="t.q"), "e.label = 3"))
+def knn_partial(spark, table):
+    """The index of the rows of one label; all its cells are searched."""
+    df = table("embeddings")
+    index = ann.build(df, f"{shared_dir(spark)}/partial-{uuid.uuid4().hex}", where="label = 3")
+    return _rounded(ann.search(index, _vector(df), 10, ef=400))
+
+
+@query(f"""
+    SELECT query_id, vec_id, round(d, 4) + 0.0 AS dist, rank FROM (
+      SELECT q.vec_id AS query_id, e.vec_id, {_L2.format(a=_V, b="q.embedding::DOUBLE[]")} AS d,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2.format(a=_V, b="q.embedding::DOUBLE[]")}, e.vec_id)::INT AS rank
+      FROM embeddings e, embeddings q) WHERE rank <= 5""")
+def knn_batch(spark, table):
+    df = table("embeddings")
+    found = knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df, 5)
+    return found.select("query_id", "vec_id", (F.round("dist", 4) + 0.0).alias("dist"), "rank")
+
+
+@query(f"SELECT vec_id, round(d, 4) + 0.0 AS dist FROM (SELECT e.vec_id, {_L2.format(a=_V, b='t.q')} AS d FROM embeddings e, {_Q.format(0)} t) WHERE d < 1.7")
+def range_search(spark, table):
+    return _rounded(knn.range_search(table("embeddings"), _vector(table("embeddings")), 1.7))
+
+
+_W = f"(0.7 * {_COS.format(a=_V, b='a.q')} + 0.3 * {_COS.format(a=_V, b='b.q')})"
+
+
+@query(f"SELECT e.vec_id, round({_W}, 4) + 0.0 AS dist FROM embeddings e, {_Q.format(0)} a, {_Q.format(1)} b")
+def weighted_exact(spark, table):
+    df = table("embeddings")
+    return _rounded(knn.weighted_search_cos(df, [(0.7, "embedding", _vector(df, 0)), (0.3, "embedding", _vector(df, 1))], exact=True))
+
+
+@query(f"""
+    WITH s AS (SELECT e.vec_id, {_W} AS d, {_COS.format(a=_V, b='a.q')} AS da, {_COS.format(a=_V, b='b.q')} AS db FROM embeddings e, {_Q.format(0)} a, {_Q.format(1)} b)
+    SELECT vec_id, round(d, 4) + 0.0 AS dist FROM s WHERE d < 0.95 AND vec_id IN (
+      SELECT vec_id FROM (SELECT vec_id FROM s ORDER BY da, vec_id LIMIT 30) UNION SELECT vec_id FROM (SELECT vec_id FROM s ORDER BY db, vec_id LIMIT 30))""")
+def weighted_approx(spark, table):
+    df = table("embeddings")
+    return _rounded(knn.weighted_search_cos(df, [(0.7, "embedding", _vector(df, 0)), (0.3, "embedding", _vector(df, 1))], ef=30, max_dist=0.95))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: greatest(-100, least(100, floor(x * 100 + 0.5)::INT))), ',') AS code FROM embeddings")
+def sq_i8(spark, table):
+    code = vectors.scalar_quantize(F.col("embedding"), 8)
+    return table("embeddings").select("vec_id", F.array_join(code.cast("array<string>"), ",").alias("code"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END), '') AS code FROM embeddings")
+def sq_b1(spark, table):
+    return table("embeddings").select("vec_id", F.array_join(vectors.scalar_quantize(F.col("embedding"), 1).cast("array<string>"), "").alias("code"))
+
+
+def _codebook(df: DataFrame) -> DataFrame:
+    """The quarters of the first 16 vectors: a codebook that SQL can make, too."""
+    part = F.array(*[F.struct(F.lit(i).alias("subvector_id"), F.slice("embedding", 16 * i + 1, 16).alias("c")) for i in range(4)])
+    return df.where("vec_id < 16").select(F.col("vec_id").cast("int").alias("centroid_id"), F.explode(part).alias("p")).select("p.subvector_id", "centroid_id", "p.c")
+
+
+_CODES = """
+    WITH book AS (SELECT s.i AS sub, vec_id AS centroid, embedding[16 * s.i + 1 : 16 * s.i + 16]::DOUBLE[] AS c FROM embeddings, (SELECT unnest(range(4)) AS i) s WHERE vec_id < 16),
+    near AS (SELECT e.vec_id, b.sub, b.centroid, b.c, row_number() OVER (PARTITION BY e.vec_id, b.sub ORDER BY
+               list_sum(list_transform(list_zip(e.embedding[16 * b.sub + 1 : 16 * b.sub + 16]::DOUBLE[], b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.centroid) AS rn
+             FROM embeddings e, book b)"""
+
+
+@query(f"{_CODES} SELECT vec_id, string_agg(centroid::VARCHAR, ',' ORDER BY sub) AS code FROM near WHERE rn = 1 GROUP BY vec_id")
+def pq_quantize(spark, table):
+    df = table("embeddings")
+    return quantize.quantize(df, _codebook(df)).select("vec_id", F.array_join(F.col("embedding_pq").cast("array<string>"), ",").alias("code"))
+
+
+@query(f"""{_CODES}, whole AS (SELECT vec_id, flatten(list(c ORDER BY sub)) AS v FROM near WHERE rn = 1 GROUP BY vec_id)
+    SELECT e.vec_id, round({_L2.format(a=_V, b="w.v")}, 4) + 0.0 AS dist FROM embeddings e JOIN whole w USING (vec_id)""")
+def pq_dequantize(spark, table):
+    df = table("embeddings")
+    back = quantize.dequantize(quantize.quantize(df, _codebook(df)), _codebook(df))
+    return _rounded(back.withColumn("dist", l2sq_dist(F.col("embedding"), F.col("vector"))))
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id AS cluster, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 8),
+    a AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, c.cluster, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_L2.format(a=_V, b="c.c")}, c.cluster) AS rn FROM embeddings e, c),
+    u AS (SELECT cluster, unnest(range(64)) + 1 AS pos, v FROM a WHERE rn = 1)
+    SELECT cluster::INT AS cluster, pos::INT AS pos, count(*) AS n, round(avg(v[pos]), 6) + 0.0 AS mean FROM u GROUP BY cluster, pos""")
+def kmeans_step(spark, table):
+    """One round from the first eight vectors as centres."""
+    df = table("embeddings")
+    rows = df.where("vec_id < 8").select(F.lit(0).alias("subvector_id"), F.col("vec_id").cast("int").alias("centroid_id"), F.col("embedding").alias("c"))
+    near = quantize.quantize(df, rows, to="cluster").select(F.col("cluster")[0].cast("int").alias("cluster"), F.posexplode(F.col("embedding").cast("array<double>")))
+    return near.groupBy("cluster", (F.col("pos") + 1).cast("int").alias("pos")).agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("col"), 6) + 0.0).alias("mean"))
+
+
+@query(f"""{_CODES}, whole AS (SELECT vec_id, flatten(list(c ORDER BY sub)) AS v FROM near WHERE rn = 1 GROUP BY vec_id),
+    t AS (SELECT q.vec_id AS qid, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2.format(a=_V, b="q.embedding::DOUBLE[]")}, e.vec_id) AS rn FROM embeddings e, embeddings q),
+    f AS (SELECT q.vec_id AS qid, w.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_L2.format(a="w.v", b="q.embedding::DOUBLE[]")}, 9), w.vec_id) AS rn FROM whole w, embeddings q)
+    SELECT round(count(f.vec_id) / count(*), 2) AS recall FROM (SELECT * FROM t WHERE rn <= 10) t LEFT JOIN (SELECT * FROM f WHERE rn <= 10) f USING (qid, vec_id)""")
+def recall_at_k(spark, table):
+    """Of exact search over vectors decoded from their codes, for all vectors as queries."""
+    df = table("embeddings")
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    back = quantize.dequantize(quantize.quantize(df, _codebook(df)), _codebook(df)).select("vec_id", F.col("vector").alias("embedding"))
+    return knn.recall(knn.knn_join(asked, df, 10), knn.knn_join(asked, back, 10), 10)
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_LONG = f"""
+    WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+    p AS (SELECT term, doc_id, count(*)::INT AS fq, first(n) AS doc_len FROM (SELECT doc_id, unnest(t) AS term, len(t)::INT AS n FROM d) GROUP BY ALL),
+    s AS (SELECT count(*) AS n, round(avg(len(t)) * 100) / 100 AS avgdl FROM d)"""
+
+
+def _tokens(table) -> DataFrame:
+    return table("documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"{_LONG.replace('GROUP BY ALL', 'GROUP BY term, doc_id')} SELECT term, count(*)::INT AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids, string_agg(fq::VARCHAR, ',' ORDER BY doc_id) AS fqs, string_agg(doc_len::VARCHAR, ',' ORDER BY doc_id) AS doc_lens FROM p GROUP BY term")
+def bm25_index(spark, table):
+    out = bm25.packed(bm25.build(_tokens(table)))
+    return out.select("term", F.col("term_freq").alias("df"), *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("doc_ids", "fqs", "doc_lens")])
+
+
+@query(f"SELECT count(*) AS n_docs, round(avg(len({_TOKENS})) * 100) / 100 AS avg_len FROM documents")
+def bm25_stats(spark, table):
+    index = bm25.build(_tokens(table), write=False)
+    return spark.createDataFrame([(index.n_docs, index.avg_len)], "n_docs long, avg_len double")
+
+
+TERMS = ["the", "that", "tion", "eau", "der"]
+_SCORES = f"""{_LONG.replace('GROUP BY ALL', 'GROUP BY term, doc_id')},
+    q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM p WHERE term IN ({', '.join(f"'{t}'" for t in TERMS)})),
+    r AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * fq * 2.2 / (fq + 1.2 * (0.25 + 0.75 * doc_len / avgdl))) AS score FROM q, s GROUP BY doc_id)"""
+
+
+@query(f"{_SCORES} SELECT doc_id, round(score, 4) AS bm25 FROM r ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
+def bm25_search(spark, table):
+    return bm25.search(bm25.build(_tokens(table)), [*TERMS, "the"], 10).select("doc_id", F.round("bm25", 4).alias("bm25"))
+
+
+@query(f"{_SCORES} SELECT doc_id, round(coalesce(score, 0), 4) AS bm25 FROM documents LEFT JOIN r USING (doc_id)")
+def bm25_score(spark, table):
+    tokens = _tokens(table)
+    return bm25.score(bm25.build(tokens), tokens, TERMS, threshold=100_000).select("doc_id", F.round("bm25", 4).alias("bm25"))
+
+
+@query(f"{_LONG.replace('GROUP BY ALL', 'GROUP BY term, doc_id')} SELECT term, count(*)::INT AS df, sum(fq)::BIGINT AS n FROM p GROUP BY term")
+def bm25_consolidate(spark, table):
+    """Two indexes of halves of the documents, made one."""
+    tokens = _tokens(table)
+    halves = [bm25.packed(bm25.build(tokens.where(F.col("doc_id") % 2 == k))) for k in (0, 1)]
+    out = bm25.consolidate(halves[0].unionByName(halves[1]))
+    return out.select("term", F.col("term_freq").alias("df"), F.aggregate("fqs", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
+def tokenize(spark, table):
+    return table("documents").select("doc_id", text.ordered_string(text.tokens(F.col("text"))).alias("tokens"))
+
+
+@query()
+def stem_tokens(spark, table):
+    return table("documents").select("doc_id", text.stem_array(F.col("text")).alias("stems"), text.stem_array(F.col("text"), "tsvector").alias("lexemes"))
+
+
+@query(f"SELECT doc_id, true AS has_first, len({_TOKENS}) > 0 AS has_words FROM documents WHERE len({_TOKENS}) > 0")
+def bloom_membership(spark, table):
+    words = table("documents").select("doc_id", text.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return words.select("doc_id", bloom.elem_in_bloom(F.element_at("t", 1), bloom.array_to_bloom(F.col("t"))).alias("has_first"), (F.size("t") > 0).alias("has_words"))
+
+
+@query("""SELECT doc_id, n_chars FROM documents d WHERE text IS NOT NULL AND trim(text) <> '' AND text <> 'Error: Summary failed (llm)'
+          AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def embed_pending(spark, table):
+    joined = table("documents").join(table("labels").select("doc_id", "quality"), "doc_id", "left")
+    return tables.pending(joined, "text", "quality").select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, true AS embedded, 64 AS dim FROM documents WHERE trim(text) <> ''")
+def embed_documents(spark, table):
+    out = embed.create_embeddings(tables.embeddable(table("documents"), "text"), "text", "v")
+    return out.select("doc_id", F.col("v").isNotNull().alias("embedded"), F.size("v").alias("dim"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'failed' WHEN user_id % 7 = 0 THEN 'canceled' WHEN value > 50 THEN 'enabled' WHEN value > 10 THEN 'in_progress' ELSE 'queued' END AS status FROM events""")
+def job_status(spark, table):
+    at = lambda c: F.when(c, F.col("ts"))
+    state = jobs.status(at(F.col("event_type") == "purchase"), at(F.col("user_id") % 7 == 0), at(F.col("value") > 50), at(F.col("value") > 10))
+    return table("events").select("event_id", state.alias("status"))
+
+
+@query("SELECT event_id, TRY_CAST(props AS INT) AS n, TRY_CAST(props AS INT) IS NULL AS failed FROM events")
+def failed_casts(spark, table):
+    n = vectors.try_cast(F.col("props"), "int")
+    return table("events").select("event_id", n.alias("n"), n.isNull().alias("failed"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def dedup_microbatch(spark, table):
+    return table("events").select("user_id", "event_type").dropDuplicates()
+
+
+@query("SELECT user_id, count(*) AS n_rows, round(sum(value), 2) AS total FROM events GROUP BY user_id")
+def usage(spark, table):
+    return table("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT vec_id, CASE WHEN l.doc_id IS NULL THEN e.label ELSE l.quality END AS label FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id")
+def update_from(spark, table):
+    changes = table("labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("label"))
+    return tables.update_from(table("embeddings").select("vec_id", "label"), changes, "vec_id", ["label"])
+
+
+@query("SELECT 2 AS experiment_id, 97.5 AS recall")
+def autotune_best(spark, table):
+    rows = [(0, 64, 32, 8, 91.0, 0.01, 1.0), (1, 128, 64, 16, 96.0, 0.02, 4.0), (2, 128, 128, 16, 97.5, 0.02, 2.0)]
+    best = tune.best(spark.createDataFrame(rows, tune.RESULTS), 95.0)
+    return best.select("experiment_id", F.col("recall").cast("decimal(3,1)").alias("recall"))
+
+
+@query("SELECT e.vec_id, regexp_replace('ORDER BY v <-> [' || array_to_string(embedding, ',') || '] LIMIT 3', '\\[.*\\]', '[MASKED_VECTOR]') AS plan FROM embeddings e")
+def masked_literals(spark, table):
+    plan = F.concat(F.lit("ORDER BY v <-> ["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("] LIMIT 3"))
+    return table("embeddings").select("vec_id", vectors.mask_arrays(plan).alias("plan"))
+
+
+@query("SELECT vec_id, embedding FROM embeddings")
+def vector_csv(spark, table):
+    """Written as literals in CSV and read again."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    tables.write_vector_csv(table("embeddings").select("vec_id", "embedding"), folder, "embedding")
+    back = tables.read_vector_csv(spark, folder, "embedding", columns=["vec_id", "embedding"])
+    return back.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+
+
+@query("SELECT embedding AS vector FROM embeddings")
+def fvecs_round_trip(spark, table):
+    """Written as .fvecs files and read again."""
+    folder = f"{shared_dir(spark)}/fvecs-{uuid.uuid4().hex}"
+    vecs.write(table("embeddings"), folder)
+    return vecs.parse_fvecs(spark, folder.removeprefix("file://"))
+
+
+@query("SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn = 1")
+def first_by_label(spark, table):
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    return table("embeddings").select("vec_id", "label", rank.alias("rn")).where("rn = 1").drop("rn")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION SELECT vec_id FROM embeddings WHERE label = 0")
+def union_of_sets(spark, table):
+    df = table("embeddings")
+    marked = df.join(table("labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return marked.select("vec_id").union(df.where("label = 0").select("vec_id")).distinct()
+
+
+@query()
+def ivf_knn(spark, table):
+    """Of the default index options; approximate."""
+    df = table("embeddings")
+    index = ann.build(df, f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}", ann.Options(ef=200))
+    return _rounded(ann.search(index, _vector(df), 10))
+
+
+@query()
+def pq_codebook(spark, table):
+    return quantize.create_codebook(table("embeddings"), 16, 4, rounds=20)
+
+
+@query("SELECT event_id, 64 AS dim FROM events WHERE trim(event_type) <> ''")
+def stream_embed(spark, table):
+    """An embedding job over the events as a stream of files."""
+    events = table("events")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events.select("event_id", "event_type").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("event_id long, event_type string").parquet(f"{folder}/in")
+    own = jobs.Jobs(spark, folder)
+    done = own.start(own.add_embedding_job(stream, "event_id", "event_type", "v"))
+    if done.failure:
+        raise RuntimeError(done.failure)
+    return own.results(done.id).select("event_id", F.size("v").alias("dim"))
