@@ -19,9 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sextant.llm.common import code_points, gather, map_batches, slices, span_hashes, with_field
+from sextant.llm.common import KEPT, code_points, gather, map_batches, slices, span_hashes, with_field
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -281,6 +281,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+KEPT[__name__] = _encoders.clear
 
 
 def _encoder(tokens: Broadcast, pattern: str) -> Encoder:
@@ -300,6 +301,38 @@ def _shared(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast((path, _vocabulary(path)))
 
 
+def _encoded(encoder: Encoder, texts: list[str | None]) -> pa.ListArray:
+    ids, counts = encoder([x or "" for x in texts])
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    missing = np.array([x is None for x in texts], bool)
+    offsets = pa.array(ends, mask=np.append(missing, False)) if missing.any() else pa.array(ends)
+    return pa.ListArray.from_arrays(offsets, pa.array(ids)).cast(pa.list_(pa.field("element", pa.int32())))
+
+
+class Decoder:
+    """Texts of lists of ids."""
+
+    def __init__(self, known: list[bytes]):
+        self.table = np.frombuffer(b"".join(known), np.uint8)
+        self.lengths = np.fromiter(map(len, known), np.int64, len(known))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, column: pa.ListArray) -> list[str | None]:
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten()
+        if flat.null_count:
+            raise ValueError("a null among the ids")
+        ids = flat.to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
+            raise ValueError("an id outside the vocabulary")
+        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        out: list[str | None] = [None] * len(column)
+        for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            own = ids[ends[i] : ends[i + 1]]
+            out[i] = self.table[gather(self.starts[own], self.lengths[own])].tobytes().decode("utf-8", "replace")
+        return out
+
+
 def encode(df: DataFrame, text: str = "text", to: str = "tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``df`` with the ids of ``text`` in ``to`` (array<int>); nothing is shuffled.
 
@@ -315,12 +348,7 @@ def encode(df: DataFrame, text: str = "text", to: str = "tokens", vocabulary: st
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for a, b in slices(texts):
-                part = texts[a:b]
-                ids, counts = encoder([x or "" for x in part])
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                missing = np.array([x is None for x in part])
-                offsets = pa.array(ends.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(ends.astype(np.int32))
-                yield [*(c.slice(a, b - a) for c in batch.columns), pa.ListArray.from_arrays(offsets, pa.array(ids)).cast(pa.list_(pa.field("element", pa.int32())))]
+                yield [*(c.slice(a, b - a) for c in batch.columns), _encoded(encoder, texts[a:b])]
 
     return map_batches(df, run, with_field(df.schema, to, "array<int>"))
 
@@ -336,34 +364,29 @@ def decode(df: DataFrame, tokens: str = "tokens", to: str = "decoded", vocabular
     place = df.columns.index(tokens)
 
     def run(batches):
-        known = shared.value[1]
-        table = np.frombuffer(b"".join(known), np.uint8)
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        starts = np.cumsum(lengths) - lengths
+        decoder = Decoder(shared.value[1])
         for batch in batches:
-            column = batch.column(place)
-            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = column.flatten()
-            if flat.null_count:
-                raise ValueError("a null among the ids")
-            ids = flat.to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(known)):
-                raise ValueError("an id outside the vocabulary")
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            out: list[str | None] = []
-            valid = column.is_valid().to_numpy(zero_copy_only=False)
-            for i in range(len(column)):
-                if not valid[i]:
-                    out.append(None)
-                    continue
-                own = ids[ends[i] : ends[i + 1]]
-                out.append(table[gather(starts[own], lengths[own])].tobytes().decode("utf-8", "replace"))
-            yield [*batch.columns, pa.array(out, pa.string())]
+            yield [*batch.columns, pa.array(decoder(batch.column(place)), pa.string())]
 
     return map_batches(df, run, with_field(df.schema, to, "string"))
 
 
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, token ids, their number, and whether decoding gives the text back."""
-    out = decode(encode(docs.select("doc_id", "text"), vocabulary=vocabulary), vocabulary=vocabulary)
-    return out.select("doc_id", "tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """``doc_id, tokens, n_tokens, lossless``: ids, their number, whether decoding them gives the text back; in one pass.
+
+    A null text has null tokens, which decode to null. Every row has a result, repeated ones too.
+    """
+    shared = _shared(docs.sparkSession, vocabulary)
+    docs = docs.select("doc_id", "text")
+
+    def run(batches):
+        encoder, decoder = _encoder(shared, PATTERN), Decoder(shared.value[1])
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                tokens = _encoded(encoder, texts[a:b])
+                same = [x == y for x, y in zip(texts[a:b], decoder(tokens))]
+                yield [batch.column(0).slice(a, b - a), tokens, tokens.value_lengths(), pa.array(same, pa.bool_())]
+
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tokens array<int>, n_tokens int, lossless boolean")])
+    return map_batches(docs, run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -19,6 +20,8 @@ from sextant.session import ship
 
 #: Characters that one numpy pass works on; longer texts are cut at separators and joined again.
 CHUNK_CHARS = 1 << 20
+#: Powers that are kept; more are computed where a piece is longer.
+CHUNK_POWERS = 1 << 21
 #: Rows up to which a side of a join is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -56,6 +59,26 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in columns.items()])
 
 
+#: What modules keep in a worker from task to task: by module, a function that drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(module: str) -> None:
+    """Drop what other modules' tasks left in this worker."""
+    for name, drop in KEPT.items():
+        if name != module:
+            drop()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on from one query's tasks to the next's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow where ``make`` yields lists of arrays in the order of ``schema``."""
     ship(df.sparkSession)
@@ -64,9 +87,13 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterab
         schema = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(make.__module__)
         target = to_arrow_schema(schema)
-        for arrays in make(batches):
-            yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) and a.type == f.type else pa.array(a, f.type) for a, f in zip(arrays, target)], schema=target)
+        try:
+            for arrays in make(batches):
+                yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) and a.type == f.type else pa.array(a, f.type) for a, f in zip(arrays, target)], schema=target)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -120,7 +147,7 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     back = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
@@ -144,8 +171,7 @@ def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans; equal spans have equal hashes wherever they stand."""
-    size = 1 << max(10, int(len(points) + 1).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(max(CHUNK_POWERS, 1 << int(len(points) + 1).bit_length()))
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
@@ -239,7 +265,7 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> np.ndarray:
     """The first ``n`` powers of an odd constant modulo 2**64."""
-    return _powers(1 << max(10, int(n).bit_length()))[0][:n]
+    return _powers(max(CHUNK_POWERS, 1 << int(n).bit_length()))[0][:n]
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

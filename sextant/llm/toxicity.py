@@ -24,6 +24,8 @@ FEATURES = 8_192
 LEAST_G2 = 15.0
 BITS = 22
 LENGTHS = range(4, 9)
+#: Characters that one numpy pass works on: it makes a dozen arrays of their length.
+RUN_CHARS = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
@@ -101,21 +103,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = cut(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labels), "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), "text"))
-    whole = np.ones(1 << BITS, bool)
 
     def count(batches):
-        totals = np.zeros((3, 1 << BITS), np.int64)
+        totals, whole, rows_by = np.zeros((2, 1 << BITS), np.int32), np.ones(1 << BITS, bool), np.zeros(2, np.int64)
         for batch in batches:
-            toxic, texts = batch.column(0).to_numpy().astype(bool), batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            toxic, texts = batch.column(0).to_numpy().astype(np.int64), batch.column(2).to_pylist()
+            for a, b in slices(texts, RUN_CHARS):
                 rows, grams, _ = _grams(texts[a:b], whole)
-                for k in (0, 1):
-                    totals[k] += np.bincount(grams[toxic[a:b][rows] == k], minlength=1 << BITS)
-            totals[2, 0] += toxic.sum()
-            totals[2, 1] += len(toxic)
-        used = np.flatnonzero(totals[:2].any(0))
-        yield [used, totals[0, used], totals[1, used]]
-        yield [np.array([-1]), totals[2, 1:2] - totals[2, 0:1], totals[2, 0:1]]
+                np.add.at(totals, (toxic[a:b][rows], grams), 1)
+            rows_by += np.bincount(toxic, minlength=2)
+        used = np.flatnonzero(totals.any(0))
+        yield [used, totals[0, used].astype(np.int64), totals[1, used].astype(np.int64)]
+        yield [np.array([-1]), rows_by[:1], rows_by[1:]]
 
     counts = cut(map_batches(sample, count, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     sizes = counts.where("gram = -1").first()
@@ -137,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         for batch in batches:
             texts = batch.column(2).to_pylist()
             out = []
-            for a, b in slices(texts):
+            for a, b in slices(texts, RUN_CHARS):
                 rows, found, _ = _grams(texts[a:b], place >= 0)
                 out += [place[x] for x in np.split(found, np.searchsorted(rows, np.arange(1, b - a)))]
             yield [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array(out, pa.list_(pa.int32()))]
@@ -174,7 +173,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = np.zeros(len(texts))
             toxic = np.zeros(len(texts), bool)
             if m:
-                for a, b in slices(texts):
+                for a, b in slices(texts, RUN_CHARS):
                     rows, grams, has = _grams(texts[a:b], table)
                     scores[a:b] = np.bincount(rows, m.weights[grams], b - a) + m.bias - m.cutoff
                     toxic[a:b] = has & (scores[a:b] > 0)
