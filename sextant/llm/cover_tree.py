@@ -36,12 +36,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Node:
     """A centre, the largest distance to a point below, and either children or the points themselves."""
 
-    __slots__ = ("centre", "radius", "points", "children", "centres", "radii")
+    __slots__ = ("centre", "radius", "points", "children")
 
     def __init__(self, centre: int, radius: float, points: np.ndarray | None, children: list[Node]):
         self.centre, self.radius, self.points, self.children = centre, radius, points, children
-        self.centres = np.array([c.centre for c in children], np.int64)
-        self.radii = np.array([c.radius for c in children], np.float32)
 
 
 def build(x: np.ndarray, points: np.ndarray, centre: int | None = None) -> Node:
@@ -73,21 +71,28 @@ def build(x: np.ndarray, points: np.ndarray, centre: int | None = None) -> Node:
 
 
 def traverse(x: np.ndarray, a: Node, y: np.ndarray, b: Node, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``x`` and ``y`` whose distance is at most about ``limit``; if the trees are one, also a row with itself."""
+    """Rows of ``x`` and ``y`` whose distance is at most about ``limit``; if the trees are one, also a row with itself.
+
+    A node of the one tree goes down with all the nodes of the other that lie near it, so that their children
+    are compared in one product.
+    """
     left, right = [], []
-    todo = [(a, b)]
+    todo: list[tuple[Node, list[Node]]] = [(a, [b])]
     while todo:
-        p, q = todo.pop()
-        ps, pc, pr = (p.children, p.centres, p.radii) if p.children else ([p], np.array([p.centre]), np.array([p.radius], np.float32))
-        qs, qc, qr = (q.children, q.centres, q.radii) if q.children else ([q], np.array([q.centre]), np.array([q.radius], np.float32))
-        near = _distances(x[pc], y[qc]) <= pr[:, None] + qr[None, :] + (limit + _SLACK)
+        p, others = todo.pop()
+        ps = p.children or [p]
+        qs = [c for q in others for c in (q.children or (q,))]
+        pr, qr = np.array([c.radius for c in ps], np.float32), np.array([c.radius for c in qs], np.float32)
+        near = _distances(x[[c.centre for c in ps]], y[[c.centre for c in qs]]) <= pr[:, None] + qr[None, :] + (limit + _SLACK)
+        below = np.array([bool(c.children) for c in qs])
+        go_on = (near & below).any(1) | (np.array([bool(c.children) for c in ps]) & near.any(1))
+        for i in np.flatnonzero(go_on).tolist():
+            todo.append((ps[i], [qs[j] for j in np.flatnonzero(near[i]).tolist()]))
+        near[go_on] = False
         for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
-            c, d = ps[i], qs[j]
-            if c.children or d.children:
-                todo.append((c, d))
-            else:
-                left.append(np.repeat(c.points, len(d.points)))
-                right.append(np.tile(d.points, len(c.points)))
+            c, d = ps[i].points, qs[j].points
+            left.append(np.repeat(c, len(d)))
+            right.append(np.tile(d, len(c)))
     empty = np.zeros(0, np.int64)
     return np.concatenate([*left, empty]), np.concatenate([*right, empty])
 
