@@ -116,11 +116,20 @@ def slices(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield a, len(texts)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key isn't in ``ids`` (a cut frame); ``ids`` is broadcast only up to BROADCAST_ROWS. Rows with a null key stay."""
-    ids = ids.select(F.col(key).alias("_gone"))
+    gone = fresh(df, "_gone")
+    ids = ids.select(F.col(key).alias(gone))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, df[key] == F.col("_gone"), "left_anti")
+    return df.join(F.broadcast(ids) if small else ids, df[key] == F.col(gone), "left_anti")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, blocks, cut, gather, map_batches, mix, powers, run_starts, slices, with_field, words
+from sextant.llm.common import BROADCAST_ROWS, blocks, cut, fresh, gather, map_batches, mix, powers, run_starts, slices, with_field, words
 
 #: Leading words that the tree goes by, after the number of words.
 LEADING = 3
@@ -153,13 +153,14 @@ def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR
                 row, number, _, pattern, _, _, _ = _lines(texts[a:b], leading, least)
                 yield [pattern, ids[a:b][row], number.astype(np.int32)]
 
+    owner = fresh(docs, "_gone_id")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lines = map_batches(named, patterns, "pattern long, id long, line int")
     gone = lines.join(F.broadcast(found) if small else found, "pattern").where("id > keeper")
-    gone = cut(gone.groupBy("id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("id", "_gone_id"))
+    gone = cut(gone.groupBy("id").agg(F.collect_set("line").alias(fresh(docs, "gone"))).withColumnRenamed("id", owner))
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col(owner), "left").drop(owner)
     place = docs.columns.index("text")
 
     def strip(batches):
