@@ -28,6 +28,10 @@ LEAST = 10
 #: Words compared to either side of a hit.
 REACH = 64
 _PENALTY = 2
+#: A window of the benchmark is a seed if it has so many different words: endless repetition would meet itself at every shift.
+DIFFERENT = 3
+#: Places of a document whose hits are one region at most.
+REGION = 448
 #: Bits of the filter: FILTER_BITS for each hash of the benchmark, 2**LARGEST_BITS at most.
 FILTER_BITS = 256
 LARGEST_BITS = 25
@@ -76,7 +80,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     """``doc_id, item_id, n_equal, n_words``: the best overlap of each document and benchmark item that have one.
 
     Texts are compared by their lower-cased words. Null and empty texts and null ids have no overlap; a
-    document or item shorter than every mask has none either. Rows that share an id count as one document or
+    document or item shorter than every mask has none either, nor has an item that repeats one or two words
+    only. Rows that share an id count as one document or
     item with several texts. Other columns aren't read.
     """
     _places(masks)
@@ -91,7 +96,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         for batch in batches:
             for item, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = np.frombuffer(whole, np.uint64)
-                for key, at in windows(hashes, np.array([0, len(hashes)]), masks):
+                for (key, at), places in zip(windows(hashes, np.array([0, len(hashes)]), masks), _places(masks)):
+                    seen = np.sort(hashes[at[:, None] + places[None, :]], axis=1)
+                    varied = (seen[:, 1:] != seen[:, :-1]).sum(1) + 1 >= DIFFERENT
+                    key, at = key[varied], at[varied]
                     yield [key.view(np.int64), np.full(len(key), item), at.astype(np.int32)]
 
     def marks(batches):
@@ -117,7 +125,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
                 order = np.argsort(at, kind="stable")
                 key, at = np.concatenate(keys)[order].view(np.int64), at[order]
                 row = np.searchsorted(offsets, at, "right") - 1
-                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (np.diff(at) > reach)))
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (np.diff(at) > reach) | (np.diff((at - offsets[row]) // REGION) > 0)))
                 last = np.append(first[1:], len(at)) - 1
                 a = np.maximum(offsets[row[first]], at[first] - reach)
                 b = np.minimum(offsets[row[first] + 1], at[last] + reach)
