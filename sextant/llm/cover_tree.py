@@ -47,6 +47,7 @@ def build(x: np.ndarray, points: np.ndarray, centre: int | None = None) -> Node:
     centre = int(points[0]) if centre is None else centre
     todo: list[tuple[int, np.ndarray, list]] = [(centre, points, top := [])]
     made = []
+    squares = (x * x).sum(1)
     while todo:  # down: covers; children are put together on the way up, as made has parents before children
         centre, points, home = todo.pop()
         far = np.sqrt(np.maximum(((x[points] - x[centre]) ** 2).sum(1), 0))
@@ -56,11 +57,16 @@ def build(x: np.ndarray, points: np.ndarray, centre: int | None = None) -> Node:
         if len(points) == 1 or radius <= 1e-6:
             continue
         reach = 2.0 ** np.ceil(np.log2(radius)) / 2
-        left, chosen = points, centre
+        left, chosen, farthest = points, centre, int(points[int(far.argmax())])
         while len(left):
             rows = x[left]
-            near = ((rows - x[chosen]) ** 2).sum(1) <= reach * reach if len(left) < 32 else 2 - 2 * (rows @ x[chosen]) <= reach * reach
+            if reach < 0.05:  # products are too coarse there
+                near = ((rows - x[chosen]) ** 2).sum(1) <= reach * reach
+            else:
+                near = squares[left] + squares[chosen] - 2 * (rows @ x[chosen]) <= reach * reach
             near |= left == chosen
+            if chosen == centre:
+                near &= left != farthest  # rounding mustn't leave all points with one centre for ever
             todo.append((chosen, left[near], below))
             left = left[~near]
             if len(left):
