@@ -44,7 +44,7 @@ def update_from(target: DataFrame, changes: DataFrame, key: str, columns: Sequen
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content, readable`` of image files; beyond 20 MB, or empty, the content is empty and a vector of it is all -1."""
+    """``path, content, readable`` of image files; beyond 20 MB the content is empty and a vector of it is all -1. Spark doesn't list empty files."""
     df = spark.read.format("binaryFile").load(path)
     good = (F.col("length") > 0) & (F.col("length") <= MAX_IMAGE_BYTES)
     return df.select("path", F.when(good, F.col("content")).otherwise(F.lit(b"")).alias("content"), good.alias("readable"))
