@@ -6,6 +6,10 @@ if these are a share of at least ``similar``; the others become variable fields.
 more than one document recurs: the document with the smallest doc_id keeps its lines, all others lose theirs.
 
 Only hashes travel: words as 16-bit codes, once for each distinct line of a batch, to the leaf's task.
+
+Of what the lines leave, passages of ``PASSAGE`` words or more that recur go, too, wherever they stand in
+their lines: a window of so many words is a unit, exact in all its words. Windows have the least of their
+shorter windows' hashes as fingerprint, so only those whose fingerprint recurs are looked at one by one.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, blocks, cut, fresh, gather, map_batches, mix, powers, run_starts, slices, with_field, words
+from sextant.llm.common import BROADCAST_ROWS, CHUNK_POWERS, _powers, blocks, code_points, cut, fresh, gather, map_batches, mix, powers, run_starts, slices, with_field, word_spans, words
 
 #: Leading words that the tree goes by, after the number of words.
 LEADING = 3
@@ -25,6 +29,8 @@ LEADING = 3
 SIMILAR = 0.8
 #: Lines of fewer words always stay.
 LEAST_WORDS = 3
+#: Words of a passage that recurs anywhere in lines, at least; an odd number.
+PASSAGE = 51
 _VARIABLE = 0x5851F42D4C957F2D
 
 
@@ -135,9 +141,112 @@ def templates(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR,
     return map_batches(lines.repartition("leaf").sortWithinPartitions("leaf"), settle, "pattern long, keeper long")
 
 
-def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and ``n_lines`` (before) and ``n_dropped``.
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on."""
+    up, down = _powers(max(CHUNK_POWERS, 1 << int(len(hashes) + 1).bit_length()))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1] + np.uint64(n))
+
+
+def _windows(texts: list[str | None], size: int):
+    """For each window of ``size`` words: the text's row, the first word's place in the text, the hashes of the window and of its fingerprint."""
+    hashes, offsets = words(texts)
+    if len(hashes) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    half = size // 2 + 1
+    low = _grams(hashes, half)
+    span = 1
+    while 2 * span <= half:  # the least of ``span`` neighbours
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    low = np.minimum(low[: len(low) - half + span], low[half - span :])
+    counts = np.maximum(np.diff(offsets) - size + 1, 0)
+    at = gather(offsets[:-1], counts)
+    row = np.repeat(np.arange(len(texts)), counts)
+    return row, at - offsets[row], _grams(hashes, size)[at].view(np.int64), low[at].view(np.int64)
+
+
+def _without_lines(text: str, drop: set[int]) -> tuple[str, int]:
+    """The text without lines by number, and how many they are."""
+    lines = text.split("\n")
+    kept = [x for k, x in enumerate(lines) if k not in drop]
+    return "\n".join(kept), len(lines) - len(kept)
+
+
+def _without_passages(text: str, drop: np.ndarray, size: int) -> tuple[str, int]:
+    """The text without the words of these windows, and how many lines lost words; those left without words go."""
+    _, at, window, _ = _windows([text], size)
+    starts, ends = word_spans(code_points(text))
+    gone = np.zeros(len(starts) + 1, np.int64)
+    at = at[np.isin(window, drop)]
+    np.add.at(gone, at, 1)
+    np.add.at(gone, at + size, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    out, lost, place, first = [], 0, 0, 0
+    for line in text.split("\n"):
+        last = int(np.searchsorted(starts, place + len(line)))
+        mine = gone[first:last]
+        if not mine.any():
+            out.append(line)
+        else:
+            lost += 1
+            if not mine.all():
+                keep, cursor = [], place
+                for a, b in zip(*(np.flatnonzero(np.diff(np.concatenate([[0], mine, [0]])) == d) + first for d in (1, -1))):
+                    keep.append(text[cursor : starts[a]])
+                    cursor = int(starts[b]) if b < last else place + len(line)
+                out.append("".join([*keep, text[cursor : place + len(line)]]))
+        place, first = place + len(line) + 1, last
+    return "\n".join(out), lost
+
+
+def _join(docs: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
+    """``docs`` with the columns of ``found`` (a cut frame) by id; ``found`` is broadcast only up to BROADCAST_ROWS."""
+    small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(found) if small else found, docs["doc_id"].cast("long") == F.col(key), how).drop(key)
+
+
+def passages(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
+    """``id, cuts`` (hashes of windows that go) of the documents with windows of ``size`` words that an earlier one has; ``docs`` has ``doc_id, text, gone`` (lines left out)."""
+
+    def read(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            texts = [_without_lines(t, set(g))[0] if g else t for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            for a, b in slices(texts):
+                row, _, window, low = _windows(texts[a:b], size)
+                yield batch, a, ids[a:b][row], row, window, low
+
+    def fingerprints(batches):
+        for _, _, doc, row, _, low in read(batches):
+            first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+            yield [low[first], doc[first]]
+
+    def units(batches):
+        for batch, a, doc, row, window, low in read(batches):
+            edges, prints = np.searchsorted(row, np.arange(int(row.max(initial=-1)) + 2)), batch.column(3)
+            for k in range(len(edges) - 1):
+                part = slice(edges[k], edges[k + 1])
+                hit = np.unique(window[part][np.isin(low[part], prints[a + k].values.to_numpy())]) if edges[k] < edges[k + 1] else np.zeros(0, np.int64)
+                if len(hit):
+                    yield [hit, np.full(len(hit), doc[edges[k]])]
+
+    def later(rows: DataFrame, to: str, keep: str) -> DataFrame:
+        """By document, its hashes that recur; with ``keep``, those that an earlier document keeps."""
+        both = rows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+        return cut(rows.join(both, "hash").where(keep).groupBy("doc").agg(F.collect_set("hash").alias(to)).withColumnRenamed("doc", "id"))
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "gone").where("doc_id is not null and text is not null")
+    prints = later(cut(map_batches(docs, fingerprints, "hash long, doc long").distinct()), "prints", "true")
+    near = _join(docs, prints, "id", "inner")
+    return later(cut(map_batches(near, units, "hash long, doc long").distinct()), "cuts", "doc > low")
+
+
+def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR, least: int = LEAST_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with recurring lines and passages taken out of ``text``, and ``n_lines`` (before) and ``n_dropped``.
 
+    ``n_dropped`` counts the lines that went or lost a passage of ``passage`` words or more (0: passages stay).
     All rows and columns stay; columns called n_lines or n_dropped are replaced. A document all of whose lines
     recur elsewhere is left with an empty text, a null text stays null, with no lines. Rows with a null doc_id
     are left as they are and count for no template. Rows that share a doc_id are one document: what recurs only
@@ -153,31 +262,34 @@ def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR
                 row, number, _, pattern, _, _, _ = _lines(texts[a:b], leading, least)
                 yield [pattern, ids[a:b][row], number.astype(np.int32)]
 
-    owner = fresh(docs, "_gone_id")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lines = map_batches(named, patterns, "pattern long, id long, line int")
     gone = lines.join(F.broadcast(found) if small else found, "pattern").where("id > keeper")
-    gone = cut(gone.groupBy("id").agg(F.collect_set("line").alias(fresh(docs, "gone"))).withColumnRenamed("id", owner))
-    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col(owner), "left").drop(owner)
+    gone = cut(gone.groupBy("id").agg(F.collect_set("line").alias("gone")))
+    owner, lost, cuts = fresh(docs, "_gone_id"), fresh(docs, "gone"), fresh(docs, "cuts")
+    joined = _join(docs, gone.select(F.col("id").alias(owner), F.col("gone").alias(lost)), owner, "left")
+    if passage:
+        again = _join(named, gone.withColumnRenamed("id", owner), owner, "left")
+        joined = _join(joined, passages(again, passage).select(F.col("id").alias(owner), F.col("cuts").alias(cuts)), owner, "left")
+    else:
+        joined = joined.withColumn(cuts, F.lit(None).cast("array<long>"))
     place = docs.columns.index("text")
 
     def strip(batches):
         for batch in batches:
-            texts, drops = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            texts, drops = batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+            windows = batch.column(batch.num_columns - 1)
             counts, lost = [], []
             for i, (text, drop) in enumerate(zip(texts, drops)):
-                lines = [] if text is None else text.split("\n")
-                counts.append(len(lines))
-                if drop:
-                    drop = set(drop)
-                    kept = [x for k, x in enumerate(lines) if k not in drop]
-                    texts[i] = None if text is None else "\n".join(kept)
-                    lost.append(len(lines) - len(kept))
-                else:
-                    lost.append(0)
-            columns = list(batch.columns)[:-1]
+                counts.append(0 if text is None else text.count("\n") + 1)
+                lost.append(0)
+                if text is not None and drop:
+                    texts[i], lost[i] = _without_lines(text, set(drop))
+                if text is not None and windows[i].is_valid:
+                    texts[i], more = _without_passages(texts[i], windows[i].values.to_numpy(), passage)
+                    lost[i] += more
+            columns = list(batch.columns)[:-2]
             columns[place] = pa.array(texts, pa.string())
             yield [*columns, pa.array(counts, pa.int32()), pa.array(lost, pa.int32())]
 

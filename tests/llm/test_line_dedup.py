@@ -45,6 +45,24 @@ def test_long_passage_repeats(spark):
     assert all(prose(i) in got[i][0] and prose(100 + i) in got[i][0] for i in range(12))
 
 
+def test_passage_inside_longer_lines(spark):
+    from tests.llm.conftest import prose
+
+    passage, own = prose(77, 51, 51), [prose(i, 30, 30) for i in range(24)]
+    broken = passage.replace(" ", "\n", 30)
+    rows = [(i, f"{own[2 * i]} {broken if i == 3 else passage}, {own[2 * i + 1]}.\nİ {prose(5000 + i, 6, 6)}") for i in range(12)]
+    got = run(spark, rows)
+    assert got[0] == (rows[0][1], 2, 0)
+    for i in range(1, 12):
+        assert got[i][0].split() == f"{own[2 * i]} {own[2 * i + 1]}. İ {prose(5000 + i, 6, 6)}".split() or i == 3
+    assert got[5][1:] == (2, 1) and got[3][1:] == (32, 31) and own[7] in got[3][0] and own[6] in got[3][0] and len(got[3][0].split()) == 67
+    shorter = [(i, f"{own[i]} {prose(77, 50, 50)} {own[i + 3]}") for i in range(3)]
+    assert {i: x for i, (x, _, _) in run(spark, shorter).items()} == dict(shorter)
+    assert run(spark, rows, passage=0)[5] == (rows[5][1], 2, 0)
+    endless = run(spark, [(i, f"{own[i]} " + "la " * 70 + own[i + 3]) for i in range(3)])
+    assert [x.split().count("la") for x, _, _ in (endless[i] for i in range(3))] == [70, 0, 0]
+
+
 def test_odd_rows(messy, none):
     out = line_dedup.drop_lines(messy)
     assert sorted(out.columns) == sorted(messy.columns)
