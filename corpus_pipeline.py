@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines, and without the documents that had nothing else."""
-    found = line_dedup.drop_lines(docs).where("n_dropped = 0 or trim(text) <> ''")
+    found = line_dedup.drop_lines(docs, least=1).where("n_dropped = 0 or trim(text) <> ''")
     return found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

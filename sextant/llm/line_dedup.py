@@ -27,7 +27,7 @@ from sextant.llm.common import BROADCAST_ROWS, CHUNK_POWERS, _powers, blocks, co
 LEADING = 3
 #: Least share of equal positions in a template.
 SIMILAR = 0.8
-#: Lines of fewer words always stay.
+#: Lines of fewer words stay by default; where ``least`` takes them in, they are equal in all words or not at all.
 LEAST_WORDS = 3
 #: Words of a passage that recurs anywhere in lines, at least; an odd number.
 PASSAGE = 51
@@ -40,6 +40,11 @@ def _lines(texts: list[str | None], leading: int, least: int):
     counts = np.fromiter(map(len, split), np.int64, len(split))
     hashes, offsets = words([line for x in split for line in x], digits=_VARIABLE)
     sizes = np.diff(offsets)
+    few = np.flatnonzero((sizes > 0) & (sizes < LEAST_WORDS)) if least < LEAST_WORDS else np.zeros(0, np.int64)
+    if len(few):  # of so few words a line is a template as it is: its digits aren't variable
+        lines = [line for x in split for line in x]
+        hashes = hashes.copy()
+        hashes[gather(offsets[few], sizes[few])] = words([lines[i] for i in few.tolist()])[0]
     row = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     fit = np.flatnonzero(sizes >= max(1, least))

@@ -56,13 +56,25 @@ def test_passage_inside_longer_lines(spark):
     for i in range(1, 12):
         assert got[i][0].split() == f"{own[2 * i]} {own[2 * i + 1]}. İ {prose(5000 + i, 6, 6)}".split() or i == 3
     assert got[5][1:] == (2, 1) and got[3][1:] == (32, 31) and own[7] in got[3][0] and own[6] in got[3][0] and len(got[3][0].split()) == 67
-    shorter = [(i, f"{own[i]} {prose(77, 50, 50)} {own[i + 3]}") for i in range(3)]
+    shorter = [(i, f"{own[i]} before{i} {prose(77, 50, 50)} after{i} {own[i + 3]}") for i in range(3)]
     assert {i: x for i, (x, _, _) in run(spark, shorter).items()} == dict(shorter)
     assert run(spark, rows, passage=0)[5] == (rows[5][1], 2, 0)
     endless = run(spark, [(i, f"{own[i]} " + "la " * 70 + own[i + 3]) for i in range(3)])
     assert [x.split().count("la") for x, _, _ in (endless[i] for i in range(3))] == [70, 0, 0]
 
 
+def test_lines_of_one_or_two_words(spark, tmp_path):
+    import corpus_pipeline
+    from sextant.llm import registry
+
+    texts = ["Les.\nown words of the first\n17\npage 3\n--", "les\nquite other words in here\n18\nPage 3\n--", "Les.\n17\nPage 4", "LES"]
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in registry.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("quite other words in here\n18\n--", 2), 2: ("Page 4", 2), 3: ("", 1)}
+    assert {r.doc_id for r in corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).collect()} == {0, 1, 2}
+
+
 def test_odd_rows(messy, none):
     out = line_dedup.drop_lines(messy)
     assert sorted(out.columns) == sorted(messy.columns)
