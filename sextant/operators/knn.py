@@ -116,6 +116,42 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "l2sq", qu
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def range_join(queries: DataFrame, df: DataFrame, max_dist: float, metric: str = "l2sq", query_id: str = "query_id", query_vector: str = "embedding", vector: str = "embedding", id: str = "vec_id", chunk: int = BROADCAST_ROWS) -> DataFrame:
+    """``query_id, id, dist`` of all rows of ``df`` whose distance from a query is less than ``max_dist``; null vectors take no part.
+
+    Queries are broadcast ``chunk`` at a time, and ``df`` is read once for each chunk.
+    """
+    metric = Metric.of(metric)
+    spark = df.sparkSession
+    wanted = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
+    kinds = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id, df.schema[id].dataType), T.StructField("dist", T.DoubleType())])
+    base = df.where(F.col(vector).isNotNull()).select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
+    parts = max(1, -(-wanted.count() // chunk))
+
+    def part(n: int) -> DataFrame:
+        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == n)
+        table = own.toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((table.column("q").chunk(0), matrix(table.column("v").chunk(0))) if table.num_rows else None)
+
+        def run(batches):
+            if shared.value is None:
+                return
+            names, q = shared.value
+            for batch in batches:
+                x = matrix(batch.column(1), q.shape[1])
+                for a in range(0, len(x), 1000):
+                    d = kernel(metric)(x[a : a + 1000], q)
+                    row, of = np.nonzero(d < max_dist)
+                    yield [names.take(pa.array(of)), batch.column(0).take(pa.array(row + a)), d[row, of]]
+
+        return map_arrays(base, run, kinds)
+
+    found = part(0)
+    for n in range(1, parts):
+        found = found.unionByName(part(n))
+    return found
+
+
 def _joint(vectors: Sequence[tuple[float, str, Sequence[float]]], metric: str) -> Column:
     parts = [F.lit(float(w)) * distance(metric, F.col(c), literal(v)) for w, c, v in vectors]
     return sum(parts[1:], parts[0])

@@ -128,6 +128,35 @@ def range_search(spark, table):
     return _rounded(knn.range_search(table("embeddings"), _vector(table("embeddings")), 1.7))
 
 
+def _all(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("query_id", "vec_id", (F.round("dist", 4) + 0.0).alias("dist"), *more)
+
+
+@query()
+def knn_cos_all(spark, table):
+    """Every row as a query, as in the queries below; SQL would compare all pairs."""
+    df = table("embeddings")
+    return _all(knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df, 10, "cos"), "rank")
+
+
+@query()
+def knn_hamming_all(spark, table):
+    whole = table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("embedding"))
+    return _all(knn.knn_join(whole.withColumnRenamed("vec_id", "query_id"), whole, 10, "hamming"), "rank")
+
+
+@query()
+def knn_filtered_all(spark, table):
+    df = table("embeddings")
+    return _all(knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df.where("label in (1, 3)"), 10), "rank")
+
+
+@query()
+def range_search_all(spark, table):
+    df = table("embeddings")
+    return _all(knn.range_join(df.withColumnRenamed("vec_id", "query_id"), df, 1.7))
+
+
 _W = f"(0.7 * {_COS.format(a=_V, b='a.q')} + 0.3 * {_COS.format(a=_V, b='b.q')})"
 
 

@@ -44,6 +44,31 @@ def test_knn_join_in_chunks(table):
     assert knn.recall(one, one.where("rank <= 2"), 4).first().recall == 0.5
 
 
+def test_searches_with_every_row_as_a_query(spark, tmp_path):
+    from sextant.plans import catalogue
+
+    v = np.random.default_rng(8).standard_normal((90, 16)).astype(np.float32)
+    v = (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
+    rows = [(i, [float(z) for z in x], i % 5) for i, x in enumerate(v)] + [(500, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    w = v.astype(float)
+    l2 = ((w[:, None] - w[None]) ** 2).sum(2)
+    cos = 1 - w @ w.T / np.sqrt((w * w).sum(1)[:, None] * (w * w).sum(1)[None])
+    ints = np.floor(w * 1000).astype(np.int64).astype(np.uint32)
+    ham = np.array([[sum(int(z).bit_count() for z in a ^ b) for b in ints] for a in ints])
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    for name, d, ids in (("knn_cos_all", np.maximum(cos, 0), range(90)), ("knn_hamming_all", ham, range(90)), ("knn_filtered_all", l2, [i for i in range(90) if i % 5 in (1, 3)])):
+        got = run(name)
+        assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in range(90) for k in range(1, 11)} and len(got) == 900
+        assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in range(90) for i in sorted(ids, key=lambda i: (round(float(d[q, i]), 12), i))[:10]}
+        assert all(abs(r.dist - d[r.query_id, r.vec_id]) < 1e-4 for r in got)
+    got = run("range_search_all")
+    assert {(r.query_id, r.vec_id) for r in got} == {(int(q), int(i)) for q, i in zip(*np.nonzero(l2 < 1.7))} and len(got) == (l2 < 1.7).sum()
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    assert knn.range_join(asked, df, 1.7, chunk=40).count() == len(got) and knn.range_join(asked.limit(0), df, 1.7).count() == 0
+
+
 def test_range_and_weighted(table):
     q, p = [float(v) for v in X[3]], [float(v) for v in X[4]]
     assert all(r.dist < 0.5 for r in knn.range_search(table, q, 0.5).collect())
