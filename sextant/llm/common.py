@@ -272,6 +272,12 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
 
 
+def shared_groups(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of the runs of equal keys."""
+    starts = run_starts(keys).tolist()
+    return list(zip(starts, [*starts[1:], len(keys)]))
+
+
 def powers(n: int) -> np.ndarray:
     """The first ``n`` powers of an odd constant modulo 2**64."""
     return _powers(max(CHUNK_POWERS, 1 << int(n).bit_length()))[0][:n]

@@ -48,8 +48,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cover_tree.near_pairs(read(spark, sf_dir, "embeddings"))
-    return found.select("vec_id_a", "vec_id_b", F.round("cosine", 4).alias("cosine"))
+    return cover_tree.near_groups(read(spark, sf_dir, "embeddings"))
 
 
 #: By name; oracle SQL by the same names, where SQL can express the query.
@@ -68,9 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op4_warc": "SELECT page_id, url, md5(html) AS digest, strlen(html)::INT AS n_bytes FROM pages",
     "op10_cover_tree": """
-        SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine
-        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-        WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95""",
+        WITH RECURSIVE near AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+        reached(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, n.b FROM reached r JOIN near n ON r.b = n.a),
+        links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+        SELECT r.a AS vec_id, min(r.b) AS class_id, coalesce(any_value(links.n), 0) AS n_links FROM reached r LEFT JOIN links USING (a) GROUP BY r.a""",
 }
 
 

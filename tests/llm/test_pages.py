@@ -134,6 +134,7 @@ def test_cover_tree_nodes_cover():
     while todo:
         n = todo.pop()
         if n.children:
+            assert sorted(n.points.tolist()) == sorted(i for c in n.children for i in c.points.tolist())
             assert n.children[-1].centre == n.centre or n.centre in [c.centre for c in n.children]
             todo += n.children
             for i, c in enumerate(n.children):
@@ -143,18 +144,44 @@ def test_cover_tree_nodes_cover():
     assert sorted(seen) == list(range(len(x)))
 
 
+@pytest.mark.parametrize("cell, group, pivots", [(40, 60, 4096), (4096, 1 << 16, 4096), (15, 30, 3)])
+def test_cover_tree_groups_by_brute_force(spark, cell, group, pivots):
+    x = vectors(150, 4)
+    x = np.concatenate([x, np.repeat(x[7:8], 120, 0)])  # a hot vector
+    ids = np.random.default_rng(1).permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    x = x.astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    root = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(x))]
+        if new == root:
+            break
+        root = new
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(int(ids[i]))
+    want = {(int(ids[i]), min(groups[root[i]]), int(near[i].sum()) - 1) for i in range(len(x))}
+    got = cover_tree.near_groups(df, cell=cell, group=group, pivots=pivots).collect()
+    assert {(r.vec_id, r.class_id, r.n_links) for r in got} == want and len(got) == len(want)
+
+
 def test_cover_tree_odd_rows(spark):
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0])]
-    df = spark.createDataFrame([(*r, "?") for r in rows], "vec_id long, embedding array<float>, cell string")
-    assert [(r.vec_id_a, r.vec_id_b) for r in cover_tree.near_pairs(df).collect()] == [(1, 2)]
-    assert cover_tree.near_pairs(df.limit(0)).count() == 0
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [2.0, 0.0]), (9, [0.0, 3.0])]
+    df = spark.createDataFrame([(*r, "?", "?") for r in rows], "vec_id long, embedding array<float>, cell string, v string")
+    assert sorted((r.vec_id_a, r.vec_id_b) for r in cover_tree.near_pairs(df).collect()) == [(1, 2), (8, 9)]
+    got = {r.vec_id: (r.class_id, r.n_links) for r in cover_tree.near_groups(df).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (8, 1), 9: (1, 3)}
+    assert cover_tree.near_pairs(df.limit(0)).count() == cover_tree.near_groups(df.limit(0)).count() == 0
+    assert [tuple(r) for r in cover_tree.near_groups(df.where("vec_id = 3")).collect()] == [(3, 3, 0)]
     with pytest.raises(Exception, match="differ in length"):
         cover_tree.near_pairs(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
     with pytest.raises(ValueError):
         cover_tree.near_pairs(df, 0)
 
 
-def test_cover_tree_of_vectors_that_hardly_differ():
+def test_cover_tree_of_vectors_that_hardly_differ(spark):
     """Radii far below what 32-bit products can tell apart."""
     r = np.random.default_rng(3)
     one = r.standard_normal(64)
@@ -163,5 +190,10 @@ def test_cover_tree_of_vectors_that_hardly_differ():
     x /= np.linalg.norm(x, axis=1)[:, None]
     f = x.astype(np.float32)
     root = cover_tree.build(f, np.arange(len(x)))
-    p, q = cover_tree.traverse(f, root, f, root, 0.01)
-    assert {(i, j) for i, j in zip(*np.nonzero(1 - x @ x.T <= 0.00005))} <= set(zip(p.tolist(), q.tolist()))
+    hits = set()
+    cover_tree.traverse(f, root, f, root, 0.01, lambda p, qs: hits.update((i, j) for q in qs for i in p.points.tolist() for j in q.points.tolist()))
+    assert {(i, j) for i, j in zip(*np.nonzero(1 - x @ x.T <= 0.00005))} <= hits
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in cover_tree.near_groups(df, 0.99999, cell=100, group=200).collect()}
+    s = x @ x.T
+    assert all((s[i] >= 0.99999 + 1e-12).sum() - 1 <= got[i] <= (s[i] >= 0.99999 - 1e-12).sum() - 1 for i in range(len(x)))
