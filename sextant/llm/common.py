@@ -22,8 +22,8 @@ from sextant.session import ship
 CHUNK_CHARS = 1 << 20
 #: Powers that are kept; more are computed where a piece is longer.
 CHUNK_POWERS = 1 << 21
-#: Rows up to which a side of a join is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side of a join is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -31,10 +31,12 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one is made only where none is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. A temporary one is made only in local mode; elsewhere, without one, ValueError."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sextant-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -48,6 +50,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows in an Arrow batch where the session leaves the default, as texts can be long."""
     if int(spark.conf.get(ARROW_ROWS, "10000")) == 10000:
@@ -124,12 +132,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """``df`` (a cut frame), marked for broadcast if its rows, of 32 bytes and ``size`` each, are of BROADCAST_BYTES at most."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size if size is not None else F.lit(0)).alias("more")).first()
+    return F.broadcast(df) if 32 * found.n + (found.more or 0) <= BROADCAST_BYTES else df
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key isn't in ``ids`` (a cut frame); ``ids`` is broadcast only up to BROADCAST_ROWS. Rows with a null key stay."""
+    """Rows of ``df`` whose key isn't in ``ids`` (a cut frame); rows with a null key stay."""
     gone = fresh(df, "_gone")
-    ids = ids.select(F.col(key).alias(gone))
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, df[key] == F.col(gone), "left_anti")
+    ids = small(ids.select(F.col(key).alias(gone)))
+    return df.join(ids, df[key] == F.col(gone), "left_anti")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -186,11 +199,11 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """``text`` in parts of about CHUNK_CHARS, cut where no word is broken if there is such a place."""
+def pieces(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut where no word is broken if there is such a place."""
     a = 0
-    while len(text) - a > CHUNK_CHARS:
-        b = a + CHUNK_CHARS
+    while len(text) - a > size:
+        b = a + size
         while b < len(text) and char_classes()[ord(text[b])] == 1:
             b += 1
         yield text[a:b]
@@ -230,7 +243,7 @@ def words(texts: list[str | None], digits: int | None = None) -> tuple[np.ndarra
 
     size = 0
     for i, text in enumerate(texts):
-        for part in _pieces((text or "").lower()):
+        for part in pieces((text or "").lower()):
             if run and size + len(part) > CHUNK_CHARS:
                 flush()
                 size = 0
@@ -289,13 +302,5 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
 
 
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else uri
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
-
-
-def nulls_last(column: Column) -> Column:
-    return column.asc_nulls_last()
