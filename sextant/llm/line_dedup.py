@@ -5,7 +5,7 @@ word with a digit is a variable field. In a leaf, lines join the template to whi
 if these are a share of at least ``similar``; the others become variable fields. A template that occurs in
 more than one document recurs: the document with the smallest doc_id keeps its lines, all others lose theirs.
 
-Only hashes travel: words as 16-bit codes, once for each distinct line of a batch, to the leaf's task.
+Only hashes travel: words as 32-bit codes, once for each distinct line of a batch, to the leaf's task.
 
 Of what the lines leave, passages of ``PASSAGE`` words or more that recur go, too, wherever they stand in
 their lines: a window of so many words is a unit, exact in all its words. Windows have the least of their
@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, CHUNK_POWERS, _powers, blocks, code_points, cut, fresh, gather, map_batches, mix, powers, run_starts, slices, with_field, word_spans, words
+from sextant.llm.common import CHUNK_POWERS, _powers, blocks, code_points, cut, fresh, gather, map_batches, mix, powers, run_starts, slices, small, with_field, word_spans, words
 
 #: Leading words that the tree goes by, after the number of words.
 LEADING = 3
 #: Least share of equal positions in a template.
 SIMILAR = 0.8
-#: Lines of fewer words stay by default; where ``least`` takes them in, they are equal in all words or not at all.
-LEAST_WORDS = 3
+#: Lines of fewer words are equal in all words or not at all.
+SHORT = 3
 #: Words of a passage that recurs anywhere in lines, at least; an odd number.
 PASSAGE = 51
 _VARIABLE = 0x5851F42D4C957F2D
@@ -40,7 +40,7 @@ def _lines(texts: list[str | None], leading: int, least: int):
     counts = np.fromiter(map(len, split), np.int64, len(split))
     hashes, offsets = words([line for x in split for line in x], digits=_VARIABLE)
     sizes = np.diff(offsets)
-    few = np.flatnonzero((sizes > 0) & (sizes < LEAST_WORDS)) if least < LEAST_WORDS else np.zeros(0, np.int64)
+    few = np.flatnonzero((sizes > 0) & (sizes < SHORT))
     if len(few):  # of so few words a line is a template as it is: its digits aren't variable
         lines = [line for x in split for line in x]
         hashes = hashes.copy()
@@ -81,7 +81,7 @@ def _cluster(codes: np.ndarray, similar: float) -> np.ndarray:
                 best = near[k]
         if best < 0:
             best = len(templates)
-            templates.append(line.astype(np.int32))
+            templates.append(line.astype(np.int64))
             for key in keys:
                 at[key].append(best)
         else:
@@ -90,7 +90,7 @@ def _cluster(codes: np.ndarray, similar: float) -> np.ndarray:
     return out
 
 
-def templates(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR, least: int = LEAST_WORDS) -> DataFrame:
+def templates(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR, least: int = 1) -> DataFrame:
     """``pattern`` (hash of a line's words) and ``keeper`` (the doc_id that keeps it), of recurring templates."""
 
     def scan(batches):
@@ -104,9 +104,9 @@ def templates(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR,
                 order = np.lexsort((doc, pattern))
                 first = order[run_starts(pattern[order])]
                 last = order[np.append(run_starts(pattern[order])[1:], len(order)) - 1]
-                codes = (hashes >> np.uint64(48)).astype(np.uint32) % 65535 + 1
-                codes = np.where(hashes == np.uint64(_VARIABLE), 0, codes).astype(np.uint16)[gather(start[first], size[first])]
-                ends = np.concatenate([[0], np.cumsum(2 * size[first])]).astype(np.int32)
+                codes = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                codes = np.where(hashes == np.uint64(_VARIABLE), np.uint32(0), codes)[gather(start[first], size[first])]
+                ends = np.concatenate([[0], np.cumsum(4 * size[first])]).astype(np.int32)
                 binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
                 yield [leaf[first], pattern[first], doc[first], doc[last], binary]
 
@@ -128,7 +128,7 @@ def templates(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR,
                 if low[a:b].min() == high[a:b].max():
                     continue
                 by = a + np.lexsort((pattern[a:b], low[a:b]))
-                rows = [np.frombuffer(line[int(i)].as_buffer(), np.uint16) for i in where[by]]
+                rows = [np.frombuffer(line[int(i)].as_buffer(), np.uint32) for i in where[by]]
                 width = len(rows[0])
                 same = np.array([len(x) == width for x in rows])  # lines of another length share the leaf by a hash collision only
                 group = np.full(len(by), -1)
@@ -207,9 +207,9 @@ def _without_passages(text: str, drop: np.ndarray, size: int) -> tuple[str, int]
 
 
 def _join(docs: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
-    """``docs`` with the columns of ``found`` (a cut frame) by id; ``found`` is broadcast only up to BROADCAST_ROWS."""
-    small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(found) if small else found, docs["doc_id"].cast("long") == F.col(key), how).drop(key)
+    """``docs`` with the columns of ``found`` (a cut frame; but the id, arrays of numbers) by id."""
+    size = sum((F.coalesce(F.size(c), F.lit(0)) * 8 for c in found.columns if c != key), F.lit(0))
+    return docs.join(small(found, size), docs["doc_id"].cast("long") == F.col(key), how).drop(key)
 
 
 def passages(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
@@ -239,8 +239,8 @@ def passages(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
 
     def later(rows: DataFrame, to: str, keep: str) -> DataFrame:
         """By document, its hashes that recur; with ``keep``, those that an earlier document keeps."""
-        both = rows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-        return cut(rows.join(both, "hash").where(keep).groupBy("doc").agg(F.collect_set("hash").alias(to)).withColumnRenamed("doc", "id"))
+        both = cut(rows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"))
+        return cut(rows.join(small(both), "hash").where(keep).groupBy("doc").agg(F.collect_set("hash").alias(to)).withColumnRenamed("doc", "id"))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "gone").where("doc_id is not null and text is not null")
     prints = later(cut(map_batches(docs, fingerprints, "hash long, doc long").distinct()), "prints", "true")
@@ -248,14 +248,15 @@ def passages(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     return later(cut(map_batches(near, units, "hash long, doc long").distinct()), "cuts", "doc > low")
 
 
-def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR, least: int = LEAST_WORDS, passage: int = PASSAGE) -> DataFrame:
+def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR, least: int = 1, passage: int = PASSAGE) -> DataFrame:
     """``docs`` with recurring lines and passages taken out of ``text``, and ``n_lines`` (before) and ``n_dropped``.
 
     ``n_dropped`` counts the lines that went or lost a passage of ``passage`` words or more (0: passages stay).
     All rows and columns stay; columns called n_lines or n_dropped are replaced. A document all of whose lines
     recur elsewhere is left with an empty text, a null text stays null, with no lines. Rows with a null doc_id
     are left as they are and count for no template. Rows that share a doc_id are one document: what recurs only
-    among them stays. Empty lines and those of fewer than ``least`` words stay.
+    among them stays. Empty lines and those of fewer than ``least`` words stay. A line that is equally near to
+    two templates joins the older. ids that aren't whole numbers raise an error; other columns may have any name.
     """
     docs = docs.drop("n_lines", "n_dropped")
     found = cut(templates(docs, leading, similar, least))
@@ -268,9 +269,8 @@ def drop_lines(docs: DataFrame, leading: int = LEADING, similar: float = SIMILAR
                 yield [pattern, ids[a:b][row], number.astype(np.int32)]
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lines = map_batches(named, patterns, "pattern long, id long, line int")
-    gone = lines.join(F.broadcast(found) if small else found, "pattern").where("id > keeper")
+    gone = lines.join(small(found), "pattern").where("id > keeper")
     gone = cut(gone.groupBy("id").agg(F.collect_set("line").alias("gone")))
     owner, lost, cuts = fresh(docs, "_gone_id"), fresh(docs, "gone"), fresh(docs, "cuts")
     joined = _join(docs, gone.select(F.col("id").alias(owner), F.col("gone").alias(lost)), owner, "left")

@@ -16,10 +16,10 @@ def test_templates_with_variables(spark):
         (6, "Copyright by the authors of quite different other things"),
         (7, "same same same words\nsame same same words"),
     ]
-    got = run(spark, rows)
+    got = run(spark, rows, least=3)
     assert got[1] == (rows[0][1], 3, 0)
     assert got[2] == ("other text that nobody else has", 2, 1) and got[3] == ("", 1, 1)
-    assert got[4][2] == 0 and got[5] == ("ok", 2, 1)  # eight of nine places are equal; short lines stay
+    assert got[4][2] == 0 and got[5] == ("ok", 2, 1)  # eight of nine places are equal; lines below ``least`` stay
     assert got[6][2] == 0 and got[7][2] == 0  # repeated in one document only
 
 
@@ -36,6 +36,46 @@ def test_recurring_lines_against_brute_force(spark):
         assert got[i][0] == "\n".join(x for x in t.split("\n") if first[x] == i)
 
 
+def test_templates_by_brute_force(spark):
+    """Each line in turn joins the template of its leaf to which most places are equal, if four of five are; changed places are variable."""
+    import random
+
+    from tests.llm.conftest import WORDS
+
+    r = random.Random(11)
+    heads = [[r.choice(WORDS) for _ in range(3)] for _ in range(3)]
+    rows = []
+    for i in range(150):
+        line = [*heads[i % 3], *[f"w{k}{r.choice('abcd')}x" if r.random() < 0.25 else f"w{k}x" for k in range(7)]]
+        line = [w.replace("w1", "ab") if "1" in w else w.translate(str.maketrans("0123456", "klmnopq")) for w in line]
+        if i % 9 == 0:
+            line[5] = str(i)
+        rows.append((i, " ".join(line)))
+    got = run(spark, rows)
+    leaves: dict = {}
+    for i, text in rows:
+        words = [None if any(c.isdigit() for c in w) else w for w in text.split()]
+        known = leaves.setdefault((len(words), *words[:3]), [])
+        same = [sum(a == b for a, b in zip(t, words)) for t, _ in known]
+        best = max(range(len(known)), key=lambda k: (same[k], -k), default=None)
+        if best is not None and same[best] >= 8:
+            known[best] = [a if a == b else "*" for a, b in zip(known[best][0], words)], known[best][1]
+            assert got[i] == ("", 1, 1), i
+        else:
+            known.append((words, i))
+            assert got[i] == (text, 1, 0), i
+    assert 3 < sum(map(len, leaves.values())) < 120
+
+
+def test_both_ways_of_joining_agree(spark, monkeypatch):
+    from tests.llm.conftest import prose
+
+    rows = [(i, prose(i) + "\n" + prose(1000 + i % 5, 9, 9) + f"\n{prose(i + 50, 9)} {prose(3, 60, 60)} {prose(2000 + i, 9, 9)}") for i in range(20)]
+    one = run(spark, rows)
+    monkeypatch.setattr("sextant.llm.common.BROADCAST_BYTES", -1)
+    assert run(spark, rows) == one and sum(n for _, _, n in one.values()) > 20
+
+
 def test_long_passage_repeats(spark):
     from tests.llm.conftest import prose
 
