@@ -72,8 +72,8 @@ def signatures(texts: list[str | None], coordinates: int = COORDINATES, width: i
 
 
 def _codes(keys: np.ndarray) -> np.ndarray:
-    """16 bits of a posting key's value, never 0."""
-    return ((keys >> np.uint64(6)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    """32 bits of a posting key's value, never 0."""
+    return (keys >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 class _Links:
@@ -167,12 +167,12 @@ def matching(docs: DataFrame, least: int = LEAST, coordinates: int = COORDINATES
             starts = run_starts(node)
             sizes = np.diff(np.append(starts, len(node)))
             row = np.repeat(np.arange(len(starts)), sizes)
-            codes = np.zeros((len(starts), coordinates), np.uint16)
+            codes = np.zeros((len(starts), coordinates), np.uint32)
             codes[row, key & 63] = _codes(key.view(np.uint64))
             taken = np.arange(len(node)) - starts[row] < (sizes - least + 1)[row]
             for part in np.array_split(np.flatnonzero(taken), max(1, int(taken.sum()) // 50_000)):
                 flat = np.ascontiguousarray(codes[row[part]])
-                ends = (np.arange(len(part) + 1) * 2 * coordinates).astype(np.int32)
+                ends = (np.arange(len(part) + 1) * 4 * coordinates).astype(np.int32)
                 yield [key[part], node[part], pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(flat)])]
 
     def merge(batches) -> Iterator[list]:
@@ -184,7 +184,7 @@ def matching(docs: DataFrame, least: int = LEAST, coordinates: int = COORDINATES
             listed = np.repeat(sizes > 1, sizes)
             if not listed.any():
                 continue
-            codes = np.frombuffer(b"".join(table.column(2).filter(pa.array(listed)).to_pylist()), np.uint16).reshape(-1, coordinates)
+            codes = np.frombuffer(b"".join(table.column(2).filter(pa.array(listed)).to_pylist()), np.uint32).reshape(-1, coordinates)
             node, sizes = node[listed], sizes[sizes > 1]
             starts = np.cumsum(sizes) - sizes
             two = starts[sizes == 2]
