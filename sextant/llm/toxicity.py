@@ -3,7 +3,8 @@
 Features are the n-grams of 4 to 8 characters of the lower-cased text that don't reach over a word's ends
 (one neighbouring separator counts as a character), hashed. Their presence in a document is scaled by
 log((p + a) / |p|) - log((q + a) / |q|) of the documents that have them in either class; logistic regression
-is fitted to the scaled presences. The cut-off is set on rows that the fit hasn't seen.
+is fitted to the scaled presences. The cut-off is set on rows that the fit hasn't seen, but never so low that a
+text without a known n-gram would be toxic.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import char_classes, code_points, cut, map_batches, slices
+from sextant.llm.common import char_classes, code_points, cut, map_batches, pieces, slices
 
 #: Labelled rows that the fit uses at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
-#: Features kept at most, those that tell the classes apart best by the likelihood-ratio test, and its least value.
+#: Features of the model: the n-grams that tell the classes apart best by the likelihood-ratio test. The fit holds
+#: them for all labelled rows in the driver's memory.
 FEATURES = 8_192
-LEAST_G2 = 15.0
 BITS = 22
 LENGTHS = range(4, 9)
 #: Characters that one numpy pass works on: it makes a dozen arrays of their length.
@@ -37,10 +38,22 @@ class Model:
 
 
 def _grams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of row and n-gram where ``table`` isn't 0; whether the row has any n-gram at all."""
-    joined = " \x00 ".join((x or "").lower() for x in texts)
+    """Distinct pairs of row and n-gram where ``table`` isn't 0; whether the row has any n-gram at all. A long text is cut between words."""
+    parts = [(i, part) for i, x in enumerate(texts) for part in pieces((x or "").lower(), RUN_CHARS)]
+    found, any_word = [], np.zeros(len(texts), bool)
+    for a, b in slices([x for _, x in parts], RUN_CHARS):
+        owner = np.array([i for i, _ in parts[a:b]])
+        rows, grams, has = _grams_of([x for _, x in parts[a:b]], table)
+        any_word[owner[has]] = True
+        found.append(owner[rows] << BITS | grams)
+    merged = np.unique(np.concatenate([*found, np.zeros(0, np.int64)])) if len(found) != 1 or len(parts) > len(texts) else found[0]
+    return merged >> BITS, merged & ((1 << BITS) - 1), any_word
+
+
+def _grams_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    joined = " \x00 ".join(texts)
     points = code_points(f" {joined} ")
-    edges = np.cumsum([0, *(len((x or "").lower()) + 3 for x in texts)])
+    edges = np.cumsum([0, *(len(x) + 3 for x in texts)])
     word = char_classes()[points] > 0
     points = np.where(word, points, np.uint32(32)).astype(np.uint64)
     any_word = np.add.reduceat(word.astype(np.int64), edges[:-1]) > 0 if len(points) else np.zeros(len(texts), bool)
@@ -95,10 +108,22 @@ def _best_cutoff(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i] - 0.5)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, smoothing: float = 1.0, least: float = LEAST_G2) -> Model | None:
+def log_ratios(counts: DataFrame, n_toxic: int, n_clean: int, smoothing: float = 1.0) -> DataFrame:
+    """``gram, ratio, g2`` of ``gram, clean, toxic`` (documents that have it): the log-count ratio and the likelihood-ratio statistic."""
+    p, q = F.col("toxic") + F.lit(smoothing), F.col("clean") + F.lit(smoothing)
+    ratio = F.log(p / F.lit(n_toxic + smoothing)) - F.log(q / F.lit(n_clean + smoothing))
+    share = n_toxic / (n_toxic + n_clean)
+    both = F.col("toxic") + F.col("clean")
+    g2 = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(s)))).otherwise(0.0) for c, s in (("toxic", share), ("clean", 1 - share)))
+    return counts.select("gram", ratio.alias("ratio"), g2.alias("g2"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, smoothing: float = 1.0) -> Model | None:
     """Fit on at most ``sample_rows`` labelled documents; None without two classes.
 
-    A document that has several labels is toxic if one says so; null labels and texts don't count.
+    A document that has several labels is toxic if one says so; null labels and texts don't count. Of n-grams that
+    tell the classes apart equally well the lesser hashes are taken; the cut-off is the middle of the widest range
+    of scores that are equally good.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -120,12 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     sizes = counts.where("gram = -1").first()
     if sizes is None or not sizes.clean or not sizes.toxic:
         return None
-    p, q = F.col("toxic") + F.lit(smoothing), F.col("clean") + F.lit(smoothing)
-    ratio = F.log(p / F.lit(sizes.toxic + smoothing)) - F.log(q / F.lit(sizes.clean + smoothing))
-    share = sizes.toxic / (sizes.toxic + sizes.clean)
-    both = F.col("toxic") + F.col("clean")
-    g2 = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(s)))).otherwise(0.0) for c, s in (("toxic", share), ("clean", 1 - share)))
-    kept = counts.where("gram >= 0").select("gram", ratio.alias("ratio"), g2.alias("g2")).where(F.col("g2") >= least).orderBy(F.desc("g2"), "gram").limit(features).toArrow()
+    kept = log_ratios(counts.where("gram >= 0"), sizes.toxic, sizes.clean, smoothing).orderBy(F.desc("g2"), "gram").limit(features).toArrow()
     if not kept.num_rows:
         return None
     grams, ratios = kept["gram"].to_numpy(), kept["ratio"].to_numpy()
@@ -150,37 +170,56 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     held = ~fit if not fit.all() else fit
     w, bias = _fit([f for f, k in zip(x, fit) if k], y[fit], ratios)
     cutoff = _best_cutoff(np.array([(w * ratios)[f].sum() + bias for f, k in zip(x, held) if k]), y[held])
+    cutoff = max(cutoff, bias)  # a text without evidence isn't toxic
     weights = np.zeros(1 << BITS, np.float32)
     weights[grams] = w * ratios
-    weights[np.abs(weights) < 1e-3 * np.abs(weights).max()] = 0
     return Model(weights, bias, cutoff)
 
 
+def _scorer(model: Model | None):
+    """Of a list of texts: scores, and which are toxic."""
+
+    def run(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        scores, toxic = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        if model:
+            table = model.weights != 0
+            for a, b in slices(texts, RUN_CHARS):
+                rows, grams, has = _grams(texts[a:b], table)
+                scores[a:b] = np.bincount(rows, model.weights[grams], b - a) + model.bias - model.cutoff
+                toxic[a:b] = has & (scores[a:b] > 0)
+        return pa.array(scores, mask=np.array([x is None or model is None for x in texts], bool)), toxic
+
+    return run
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, ``score`` (log-odds, more than 0 is toxic) and ``toxic`` for every row; nothing is shuffled.
+    """doc_id, ``score`` (log-odds above the cut-off, more than 0 is toxic) and ``toxic`` for every row; nothing is shuffled.
 
-    A null text has a null score; it, and a text without a word, isn't toxic. Without a model nothing is.
-    Repeated rows are scored each. The broadcast model has a fixed size.
+    A null text has a null score; it, and a text without a word, isn't toxic, nor is one whose score is just 0.
+    Without a model every score is null and nothing is toxic. Repeated rows are scored each. The broadcast model
+    has a fixed size. ids that aren't whole numbers raise an error; other columns, whatever they are called, aren't read.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        table = m.weights != 0 if m else None
+        scored = _scorer(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores = np.zeros(len(texts))
-            toxic = np.zeros(len(texts), bool)
-            if m:
-                for a, b in slices(texts, RUN_CHARS):
-                    rows, grams, has = _grams(texts[a:b], table)
-                    scores[a:b] = np.bincount(rows, m.weights[grams], b - a) + m.bias - m.cutoff
-                    toxic[a:b] = has & (scores[a:b] > 0)
-            yield [batch.column(0), pa.array(scores, mask=np.array([x is None for x in texts], bool)), toxic]
+            yield [batch.column(0), *scored(batch.column(1).to_pylist())]
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, toxic boolean")
 
 
+def clean(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, with all their columns; by row, so one with a null id is judged as any other."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        scored = _scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(~scored(batch.column(place).to_pylist())[1])).columns
+
+    return map_batches(docs, run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))

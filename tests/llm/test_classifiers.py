@@ -54,6 +54,12 @@ def test_toxicity_odd_rows(messy, none, tables):
     assert len(rows) == messy.count() and not any(r.toxic for r in rows)
     assert sum(r.score is None for r in rows) == 2
     assert toxicity.score(none, model).count() == 0
+    assert all(r.score is None for r in toxicity.score(messy, None).collect())
+    rude = messy.selectExpr("cast(null as long) as doc_id", "'you disgusting idiotic scumbag' as text", *[f"`{c}`" for c in messy.columns[2:]]).limit(2)
+    left = toxicity.clean(messy.unionByName(rude), model)
+    assert left.columns == messy.columns and left.count() == messy.count()  # judged by row: those without an id go, too
+    twice = labels.unionByName(labels.selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    assert toxicity.score(docs, toxicity.train(docs, twice)).where("toxic").count() > 30  # of several labels, toxic wins
     assert toxicity.train(none, labels) is None and toxicity.train(docs, labels.limit(0)) is None and toxicity.train(docs, labels.where("toxic = 0")) is None
     assert not any(r.toxic for r in toxicity.classify(messy, labels.limit(0)).collect())
 
@@ -86,3 +92,71 @@ def test_quality_odd_rows(messy, none, tables):
     assert all(r.score is None and not r.high for r in quality.score(messy, None).collect())
     few = quality.train(docs.where("doc_id < 3"), labels)
     assert quality.score(docs, few).count() == 240
+
+
+def test_log_ratios_by_hand(spark):
+    rows = [(1, 3, 0), (2, 1, 5), (3, 4, 4)]
+    got = {r.gram: (r.ratio, r.g2) for r in toxicity.log_ratios(spark.createDataFrame(rows, "gram long, clean long, toxic long"), 10, 30).collect()}
+    for gram, clean, toxic in rows:
+        ratio = np.log((toxic + 1) / 11) - np.log((clean + 1) / 31)
+        g2 = 2 * sum(n * np.log(n / ((clean + toxic) * s)) for n, s in ((toxic, 0.25), (clean, 0.75)) if n)
+        assert np.allclose(got[gram], (ratio, g2))
+
+
+def test_fit_is_at_the_minimum():
+    r = np.random.default_rng(0)
+    y = (r.random(200) < 0.3).astype(float)
+    ratio = r.standard_normal(12)
+    x = [np.flatnonzero(r.random(12) < 0.3 + 0.3 * (k % 2 == 0) * t) for k, t in enumerate(y)]
+    w, bias = toxicity._fit(x, y, ratio, l2=1e-2, rounds=20_000)
+    dense = np.zeros((200, 12))
+    for i, f in enumerate(x):
+        dense[i, f] = ratio[f]
+    weight = 0.5 / y.sum() * y + 0.5 / (1 - y).sum() * (1 - y)
+    slope = weight * (1 / (1 + np.exp(-(dense @ w + bias))) - y)
+    assert abs(dense.T @ slope + 1e-2 * w).max() < 1e-6 and abs(slope.sum()) < 1e-6
+
+
+def test_long_texts_in_parts_give_the_same(monkeypatch):
+    from sextant.llm import bpe, language_id
+
+    texts = [prose(5, 400), "short one", "", prose(6, 300).replace("a", "a1 ") + " end", None, "x" * 30]
+    whole = np.ones(1 << toxicity.BITS, bool)
+    plain = [x or "" for x in texts]
+    encoder = bpe.Encoder(bpe.Merges(bpe.load_vocabulary()))
+    before = toxicity._grams(texts, whole), quality.features(texts), language_id._trigrams(plain), encoder(plain)
+    monkeypatch.setattr(toxicity, "RUN_CHARS", 100)
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(language_id, "_CHARS", 100)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(quality, "slices", lambda t: ((i, i + 1) for i in range(len(t))))
+    after = toxicity._grams(texts, whole), quality.features(texts), language_id._trigrams(plain), encoder(plain)
+    assert all((a == b).all() for a, b in zip(before[0], after[0])) and (before[1] == after[1]).all()
+    assert [sorted(zip(*(v.tolist() for v in x))) for x in (before[2],)] == [sorted(zip(*(v.tolist() for v in x))) for x in (after[2],)]
+    assert all((a == b).all() for a, b in zip(before[3], after[3]))
+
+
+def test_ties_with_the_last_neighbour():
+    """Copies lie at the same cosine: those with the lowest ids vote, whatever the order of the products."""
+    r = np.random.default_rng(8)
+    base = quality._normal(r.standard_normal((30, 16)).astype(np.float32))
+    known = np.repeat(base, 40, 0)
+    good = np.tile((np.arange(40) < 15).astype(float), 30)
+    model = quality.Model(np.ones(1), np.ones((1, 1)), known, np.arange(1200), good)
+    got = quality.vote(base, np.full(30, -1), model, 15)
+    assert np.allclose(got, 1.0)
+
+
+def test_latent_space_is_the_leading_singular_vectors(tables):
+    docs, labels = tables
+    model = quality.train(docs, labels, dimensions=8)
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").collect()
+    counts = quality.features([r.text for r in rows])
+    seen = (counts > 0).sum(0)
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf[-1] *= quality.REPEATED
+    assert np.allclose(model.idf, idf)
+    x = quality._weighted(counts, idf)
+    _, sizes, axes = np.linalg.svd(x, full_matrices=False)
+    assert abs((model.axes * np.sqrt(sizes[:8])).T @ axes[:8].T).max(1) == pytest.approx(1, abs=1e-2)
+    assert abs(model.vectors - quality._normal(x @ model.axes)).max() < 1e-4 and (model.ids == [r.doc_id for r in rows]).all()
