@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import char_classes, code_points, cut, map_batches, mix, slices, words
+from sextant.llm.common import CHUNK_CHARS, char_classes, code_points, cut, map_batches, mix, slices, words
 
 #: Labelled documents that vote at most, chosen by a hash of doc_id: they are broadcast as vectors.
 SAMPLE_ROWS = 3_000
@@ -30,6 +30,8 @@ CUTOFF = 0.5
 #: Weight of repeated words, one feature beside thousands of trigrams.
 REPEATED = 10.0
 _BLOCK = 2048
+#: Cosines that differ by less are ties.
+_TIE = 5e-6
 
 
 @dataclass
@@ -61,24 +63,34 @@ _SHAPES: list[np.ndarray] = []
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """Counts, by row; the texts should be about a million characters at most together, or one."""
+    """Counts, by row; a long text is taken in parts."""
     if not _SHAPES:
         _SHAPES.append(_shapes())
     texts = [x or "" for x in texts]
     n = len(texts)
-    points = code_points("\x00".join(texts) + "\x00")
-    row = np.repeat(np.arange(n), np.fromiter((len(x) + 1 for x in texts), np.int64, n))
     out = np.zeros(n * FEATURES)
-    shape = np.where(points < 0x10000, _SHAPES[0][np.minimum(points, 0xFFFF)], np.uint32(ord("x")))
-    upper = (points >= 65) & (points <= 90)
-    plain = np.where(char_classes()[points] > 0, np.where(upper, points + np.uint32(32), points), np.uint32(32))
-    for k, line in enumerate((plain, shape)):
-        line = line.astype(np.uint64)
-        if len(line) < 3:
-            continue
-        keys = mix((line[:-2] << np.uint64(42) | line[1:-1] << np.uint64(21) | line[2:]) + np.uint64(k + 1)) >> np.uint64(64 - 11)
+
+    def take(points: np.ndarray, row: np.ndarray) -> None:
+        shape = np.where(points < 0x10000, _SHAPES[0][np.minimum(points, 0xFFFF)], np.uint32(ord("x")))
+        upper = (points >= 65) & (points <= 90)
+        plain = np.where(char_classes()[points] > 0, np.where(upper, points + np.uint32(32), points), np.uint32(32))
         inside = row[2:] == row[:-2]
-        out += np.bincount((row[2:] * FEATURES + k * PLACES + keys.astype(np.int64))[inside], minlength=n * FEATURES)
+        for k, line in enumerate((plain, shape)):
+            line = line.astype(np.uint64)
+            if len(line) >= 3:
+                keys = mix((line[:-2] << np.uint64(42) | line[1:-1] << np.uint64(21) | line[2:]) + np.uint64(k + 1)) >> np.uint64(64 - 11)
+                first = int(row[0])  # rows of this part only
+                found = np.bincount(((row[2:] - first) * FEATURES + k * PLACES + keys.astype(np.int64))[inside], minlength=FEATURES)
+                out[first * FEATURES : first * FEATURES + len(found)] += found
+
+    for a, b in slices(texts):
+        if b - a == 1:
+            text = texts[a] + "\x00"
+            for i in range(0, max(1, len(text) - 2), CHUNK_CHARS):  # a part's last two characters are the next one's first
+                points = code_points(text[i : i + CHUNK_CHARS + 2])
+                take(points, np.full(len(points), a))
+        else:
+            take(code_points("\x00".join(texts[a:b]) + "\x00"), np.repeat(np.arange(a, b), np.fromiter((len(x) + 1 for x in texts[a:b]), np.int64, b - a)))
     out = out.reshape(n, FEATURES)
     hashes, offsets = words(texts)
     again = np.zeros(len(hashes) + 1, np.int64)
@@ -100,12 +112,19 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def vote(vectors: np.ndarray, ids: np.ndarray, model: Model, k: int) -> np.ndarray:
-    """Share of the votes for high quality: the cosines, from 0 up, of the ``k`` nearest but the document itself; NaN without one."""
+    """Share of the votes for high quality: the cosines, from 0 up, of the ``k`` nearest but the document itself; NaN without one.
+
+    Of those at the same cosine the lowest ids vote.
+    """
     out = np.empty(len(vectors))
     for a in range(0, len(vectors), _BLOCK):
         cosine = vectors[a : a + _BLOCK] @ model.vectors.T
         cosine[ids[a : a + _BLOCK, None] == model.ids[None, :]] = -1
         near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] <= k else np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        edge = np.take_along_axis(cosine, near, 1).min(1) - _TIE
+        for i in np.flatnonzero((cosine >= edge[:, None]).sum(1) > k):  # ties with the last: the lowest ids vote
+            tied = np.flatnonzero(cosine[i] >= edge[i])
+            near[i] = tied[np.argsort(-np.round(cosine[i, tied], 5), kind="stable")[:k]]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0)
         whole = weight.sum(1)
         out[a : a + _BLOCK] = np.where(whole > 0, (weight * model.good[near]).sum(1) / np.where(whole > 0, whole, 1), np.nan)
@@ -158,7 +177,8 @@ def score(docs: DataFrame, model: Model | None, k: int = NEIGHBOURS, cutoff: flo
     """``doc_id, score, high`` for every row; nothing is shuffled.
 
     A null text has a null score and isn't high; a text without a character, or whose neighbours all lie at a
-    cosine of 0 or less, has score 0. Without a model every score is null. Repeated rows are scored each.
+    cosine of 0 or less, has score 0. Without a model every score is null. Repeated rows are scored each. ids
+    that aren't whole numbers raise an error; other columns, whatever they are called, aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
