@@ -29,9 +29,13 @@ BITS = 16
 TEMPER = 0.2
 #: Pages that a prior weighs as much as.
 STRENGTH = 10.0
-_TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_OPEN = re.compile(r"<(?:(script)|style)\b", re.I)
+_CLOSE = {True: re.compile(r"</script\s*>", re.I), False: re.compile(r"</style\s*>", re.I)}
 _ENTITY = re.compile(r"&[#\w]{1,30};")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([a-z]{2,8})", re.I)
+#: Characters of a page that one numpy pass works on.
+_CHARS = 1 << 18
 
 
 @dataclass
@@ -41,17 +45,30 @@ class Model:
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and place of every trigram that holds a letter; texts are set apart."""
-    joined = " \x00 ".join(texts).lower()
-    points = code_points(f" {joined} ")
-    sizes = np.fromiter((len(x.lower()) + 3 for x in texts), np.int64, len(texts))
-    word = char_classes()[points] > 0
-    points = np.where(word, points, np.uint32(32)).astype(np.uint64)
-    if len(points) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
-    keep = np.flatnonzero(word[1:-1] | (word[:-2] & word[2:]))
-    return np.repeat(np.arange(len(texts)), sizes)[: len(points)][keep + 1], (mix(keys[keep]) >> np.uint64(64 - BITS)).astype(np.int64)
+    """Row and place of every trigram that holds a letter, in order of rows; texts are set apart. A long text is taken in parts."""
+    texts = [x.lower() for x in texts]
+    rows, places = [], []
+
+    def take(points: np.ndarray, row: np.ndarray) -> None:
+        word = char_classes()[points] > 0
+        points = np.where(word, points, np.uint32(32)).astype(np.uint64)
+        if len(points) >= 3:
+            keys = points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
+            keep = np.flatnonzero(word[1:-1] | (word[:-2] & word[2:]))
+            rows.append(row[keep + 1])
+            places.append((mix(keys[keep]) >> np.uint64(64 - BITS)).astype(np.int64))
+
+    for a, b in slices(texts, _CHARS):
+        if b - a == 1:
+            text = f" {texts[a]} "
+            for i in range(0, max(1, len(text) - 2), _CHARS):  # a part's last two characters are the next one's first
+                points = code_points(text[i : i + _CHARS + 2])
+                take(points, np.full(len(points), a))
+        else:
+            sizes = np.fromiter((len(x) + 3 for x in texts[a:b]), np.int64, b - a)
+            points = code_points(" " + " \x00 ".join(texts[a:b]) + " ")
+            take(points, np.repeat(np.arange(a, b), sizes)[: len(points)])
+    return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*places, np.zeros(0, np.int64)])
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, smoothing: float = 0.5) -> Model | None:
@@ -82,8 +99,44 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, smoothing: float = 0.
 
 
 def visible(html: str) -> str:
-    """The text between the tags."""
-    return _ENTITY.sub(" ", _TAGS.sub(" ", html))
+    """The text between tags, comments, scripts and styles; in one pass, however they are nested or left open.
+
+    What isn't closed counts as a tag up to the next >, and where there is none as text.
+    """
+    out, at = [], 0
+    absent: set[str] = set()  # what doesn't come any more
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        end = -1
+        if html.startswith("<!--", start):
+            if "-->" not in absent:
+                end = html.find("-->", start + 4) + 3
+                if end < 3:
+                    absent.add("-->")
+                    end = -1
+        elif m := _OPEN.match(html, start):
+            kind = m.group(1) is not None
+            if str(kind) not in absent:
+                if close := _CLOSE[kind].search(html, m.end()):
+                    end = close.end()
+                else:
+                    absent.add(str(kind))
+        if end < 0:
+            end = html.find(">", start + 1) + 1
+            if not end:
+                at = start
+                break
+        out.append(" ")
+        at = end
+    return _ENTITY.sub(" ", "".join([*out, html[at:]]))
+
+
+def declared_language(html: str) -> str:
+    """The ``lang`` of the first html tag, in lower case; "" without one."""
+    tag = _HTML.search(html)
+    end = html.find(">", tag.end()) if tag else -1
+    found = _LANG.search(html, tag.end(), end) if end >= 0 else None
+    return found.group(1).lower() if found else ""
 
 
 def likelihoods(texts: list[str], model: Model) -> np.ndarray:
@@ -92,8 +145,8 @@ def likelihoods(texts: list[str], model: Model) -> np.ndarray:
     for a, b in slices(texts):
         row, place = _trigrams(texts[a:b])
         if len(row):
-            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            out[a + row[starts]] = np.add.reduceat(model.table[place], starts, axis=0, dtype=np.float64)
+            for k in range(len(model.languages)):
+                out[a:b, k] = np.bincount(row, model.table[place, k], b - a)
     out *= TEMPER
     return out - out.max(1, keepdims=True)
 
@@ -103,7 +156,8 @@ def identify(pages: DataFrame, docs: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     Evidence that is missing (a null or empty page, no declared language, no host) says nothing: that part
     counts as a group of its own. Of equally likely languages the first by name wins. Repeated rows each get
-    a result and each count for the host. Without a labelled document, lang and probability are null.
+    a result and each count for the host. Without a labelled document, lang and probability are null. ids that
+    aren't whole numbers raise an error; other columns, whatever they are called, aren't read.
     """
     model = train(docs, sample_rows)
     if model is None:
@@ -114,7 +168,7 @@ def identify(pages: DataFrame, docs: DataFrame, sample_rows: int = SAMPLE_ROWS,
     def read(batches):
         for batch in batches:
             html = [x or "" for x in batch.column(2).to_pylist()]
-            declared = [m.group(1).lower() if (m := _DECLARED.search(x)) else "" for x in html]
+            declared = [declared_language(x) for x in html]
             logs = likelihoods([visible(x) for x in html], shared.value)
             yield [batch.column(0), batch.column(1), pa.array(declared), pa.array(list(logs), pa.list_(pa.float64()))]
 

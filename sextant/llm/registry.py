@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from sextant.llm import bpe, cover_tree, decontaminate, language_id, line_dedup, minhash, quality, toxicity, url_filter, warc
 from sextant.llm.common import read
 
+#: Words, without a plural's s, of the categories that public lists of unwanted hosts have: what stands for labels in op2's query.
+SUSPECT = tuple("ad adult adserver banner bet betting casino click coupon crack dating escort gambling jackpot keygen loan lottery malware phish pharma pill poker popup porn promo replica sex slot spam torrent tracker viagra warez webcam xxx".split())
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filtered(read(spark, sf_dir, "pages"))
+    """The tables have no labels for addresses: a host is rejected if a word of its name is one of SUSPECT."""
+    pages = read(spark, sf_dir, "pages")
+    words = F.split(url_filter.host(), "[^a-z0-9]+")
+    bad = F.exists(words, lambda w: F.regexp_replace(w, "s$", "").isin(*SUSPECT))
+    return url_filter.filtered(pages, pages.where("url is not null").select("url", bad.alias("rejected")))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +35,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(read(spark, sf_dir, "documents"), least=1).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.drop_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,9 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, level: int = LEVEL, s
 
 
 def read(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
-    """``page_id, url, html`` of all records of the files that ``index`` names."""
+    """``page_id, url, html`` of all records of the files that ``index`` (a cut frame) names; a task reads a file or a few."""
+    paths = index.select("path").distinct()
+    paths = paths.repartition(max(1, min(paths.count(), 8 * spark.sparkContext.defaultParallelism)))  # names are few bytes: left alone they'd be one task's
 
     def run(batches):
         store, top = fs.FileSystem.from_uri(folder)
@@ -156,7 +158,7 @@ def read(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
                     urls = [json.loads(f["WARC-Target-URI"]) if "X-Quoted-URI" in f else f.get("WARC-Target-URI") for f, _ in part]
                     yield [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([None if "X-Null-Block" in f else b.decode() for f, b in part], pa.string())]
 
-    return map_batches(index.select("path").distinct(), run, "page_id long, url string, html string")
+    return map_batches(paths, run, "page_id long, url string, html string")
 
 
 def read_one(folder: str, path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:

@@ -37,6 +37,12 @@ def test_archive_round_trip(spark, pages, tmp_path):
     assert warc.write(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_files_are_read_by_several_tasks(spark, pages, tmp_path):
+    index = warc.write(pages.repartition(4), f"file://{tmp_path}", roll=20_000)
+    back = warc.read(spark, index, f"file://{tmp_path}")
+    assert back.rdd.getNumPartitions() >= min(4, index.select("path").distinct().count())
+
+
 def test_archived_digests(pages):
     got = {r.page_id: (r.digest, r.n_bytes) for r in warc.archived(pages).collect()}
     assert got[5] == (hashlib.md5(PAGES[5][2].encode()).hexdigest(), len(PAGES[5][2].encode())) and got[900] == (None, None)
@@ -53,43 +59,127 @@ def test_dictionary_helps():
     assert start == offsets[0] and reader.decompress(data[start : start + lengths[0]]) == b"x"
 
 
-def test_url_chances_sum_to_one(spark, pages):
-    labels = url_filter.weak_labels(pages)
-    model = url_filter.train(labels)
-    probe = "https://site1.example.org/1"
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Labels by host: 5 hosts of either kind; other hosts of the same kinds are in PAGES."""
+    r = random.Random(3)
+    rows = [(f"https://{'spam-shop' if bad else 'site'}{k}.example.org/{r.randrange(10**4)}", bool(bad)) for bad in (0, 1) for k in range(20, 32) for _ in range(12)]
+    return spark.createDataFrame(rows + [rows[0], (None, True), ("http://x", None)], "url string, rejected boolean")
+
+
+@pytest.mark.parametrize("limit", [1 << 26, -1])
+def test_url_chances_by_brute_force(spark, pages, labelled, monkeypatch, limit):
+    monkeypatch.setattr("sextant.llm.common.BROADCAST_BYTES", limit)
+    rows = labelled.where("url is not null and rejected is not null").selectExpr("url", "int(rejected) as rejected")
     want = {0: {}, 1: {}}
-    held = {r.url for r in labels.selectExpr("url", "pmod(xxhash64(url), 5) = 0 as held").where("held").collect()}
-    for url, label in ((r.url, int(r.rejected)) for r in labels.collect() if r.url not in held):
-        s = "\x02" * 5 + url.lower() + "\x03"
-        data = s.encode()
+    for url, label in map(tuple, rows.collect()):
+        data = ("\x02" * 5 + url.lower() + "\x03").encode()
         for i in range(5, len(data)):
             for k in range(6):
-                want[label].setdefault(data[i - k : i], {}).setdefault(data[i], 0)
-                want[label][data[i - k : i]][data[i]] += 1
+                after = want[label].setdefault((k, data[i - k : i]), {})
+                after[data[i]] = after.get(data[i], 0) + 1
 
-    def log(label):
-        data, total = ("\x02" * 5 + probe + "\x03").encode(), 0.0
+    def log(probe, label):
+        data, total = (b"\x02" * 5 + probe.lower().encode() + b"\x03"), 0.0
         for i in range(5, len(data)):
             p = 1 / 256
             for k in range(6):
-                after = want[label].get(data[i - k : i])
-                if after:
+                if after := want[label].get((k, data[i - k : i])):
                     n, t = sum(after.values()), len(after)
                     p = (after.get(data[i], 0) + t * p) / (n + t)
             total += np.log(p)
         return total / (len(data) - 5)
 
-    assert abs(url_filter.score([probe], model)[0] - (log(1) - log(0))) < 1e-3
+    counts = url_filter._counted(rows, 5)
+    got = {r.url: r.score for r in url_filter.scores(pages, counts).collect()}
+    assert len(got) == len({u for _, u, _ in PAGES + ODD if u is not None})
+    for url, score in got.items():
+        assert abs(score - (log(url, 1) - log(url, 0))) < 1e-9
 
 
-def test_url_filter(spark, pages):
-    rows = {r.page_id: r for r in url_filter.filtered(pages).collect()}
+@pytest.mark.parametrize("limit", [1 << 26, -1])
+def test_url_filter_of_hosts_it_has_not_seen(spark, pages, labelled, monkeypatch, limit):
+    monkeypatch.setattr("sextant.llm.common.BROADCAST_BYTES", limit)
+    rows = {r.page_id: r for r in url_filter.filtered(pages, labelled).collect()}
     wrong = [i for i, _, _ in PAGES if rows[i].rejected != (i % 9 == 0)]
-    assert len(wrong) <= 2 and rows[900].score is None and not rows[900].rejected
-    assert url_filter.filtered(pages).count() == len(PAGES + ODD)
-    assert url_filter.filtered(pages.limit(0)).count() == 0
-    one = url_filter.apply(pages, url_filter.train(spark.createDataFrame([("http://a", False)], "url string, rejected boolean")))
-    assert not any(r.rejected for r in one.collect())
+    assert not wrong and rows[900].score is None and not rows[900].rejected
+    assert url_filter.filtered(pages, labelled).count() == len(PAGES + ODD)
+    assert url_filter.filtered(pages.limit(0), labelled).count() == 0
+    one = url_filter.filtered(pages, spark.createDataFrame([("http://a", False)], "url string, rejected boolean"))
+    assert one.count() == len(PAGES + ODD) and one.where("rejected or score is not null").count() == 0
+    both = spark.createDataFrame([("http://a", False), ("http://a", True)], "url string, rejected boolean")
+    assert all(abs(r.score or 0) < 1e-12 for r in url_filter.filtered(pages, both).collect())
+
+
+def test_url_cutoff_by_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        score = np.unique(r.integers(-20, 20, 12)) / 10
+        bad, good = r.integers(0, 3, len(score)), r.integers(0, 3, len(score))
+        bad[0] += 1
+        cutoff = url_filter.best_cutoff(score, bad, good)
+        f1 = lambda c: 2 * bad[score > c].sum() / ((bad + good)[score > c].sum() + bad.sum())
+        assert f1(cutoff) >= max(f1(c - 1e-9) for c in score) - 1e-12
+
+
+def grams(text):
+    t = " " + "".join(c if c.isalnum() else " " for c in text.lower()) + " "
+    return [t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " " or (t[i] != " " and t[i + 2] != " ")]
+
+
+def test_language_posteriors_by_brute_force(spark):
+    """Every number from counts in dictionaries; trigrams share no place in so few texts."""
+    langs = ["de", "en", "fr"]
+    docs = [(i, page_text(lang, 700 + i, 12), lang) for i, lang in enumerate(["en", "de", "fr"] * 5)]
+    rows = [(i, f"http://{'a' if i % 2 else 'b'}.example.{'de' if i % 3 else 'org'}/{i}", f'<html{" lang=" + chr(34) + ("de-AT" if i % 4 else "fr") + chr(34) if i % 5 else ""}><p>{page_text(langs[i % 3], 40 + i, 3)}</p></html>') for i in range(24)]
+    counts = {x: {} for x in langs}
+    for _, text, lang in docs:
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    places = 1 << language_id.BITS
+    total = {x: sum(counts[x].values()) + 0.5 * places for x in langs}
+    data = []
+    for i, url, html in rows:
+        text = html.split("<p>")[1].split("</p>")[0]
+        logs = np.array([language_id.TEMPER * sum(np.log((counts[x].get(g, 0) + 0.5) / total[x]) for g in grams(text)) for x in langs])
+        logs -= logs.max()
+        host = url.split("/")[2]
+        data.append((i, host, host.split(".")[-1], ("de" if i % 4 else "fr") if i % 5 else "", logs, np.exp(logs) / np.exp(logs).sum()))
+    sums = lambda k, v: sum(d[5] for d in data if d[k] == v)
+    number = lambda k, v: sum(1 for d in data if d[k] == v)
+    kinds, every = len({d[3] for d in data}), sum(d[5] for d in data)
+    want = {}
+    for i, host, suffix, declared, logs, p in data:
+        overall = (every + 1) / (len(data) + 3)
+        by_suffix = (np.maximum(sums(2, suffix) - p, 0) + 10 * overall) / (number(2, suffix) - 1 + 10)
+        prior = (np.maximum(sums(1, host) - p, 0) + 10 * by_suffix) / (number(1, host) - 1 + 10)
+        z = logs + np.log(prior) + (np.log((sums(3, declared) + 1) / (every + kinds)) if declared else 0)
+        want[i] = langs[int(z.argmax())], float(np.exp(z).max() / np.exp(z).sum())
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    for r in got.collect():
+        assert r.lang == want[r.page_id][0] and abs(r.probability - want[r.page_id][1]) < 1e-3
+
+
+def test_equally_likely_languages(spark):
+    docs = spark.createDataFrame([(1, "same words", "fr"), (2, "same words", "de")], "doc_id long, text string, lang string")
+    got = language_id.identify(spark.createDataFrame([(1, "http://a.b/", "<p>words</p>")], "page_id long, url string, html string"), docs).first()
+    assert got.lang == "de" and abs(got.probability - 0.5) < 1e-6
+
+
+def test_markup_is_scanned_in_one_pass():
+    import time
+
+    v = language_id.visible
+    assert v("a<!-- x > --> b<b class='>'>c</b>&amp;d") == "a  b '>c  d" or v("a<!-- x > --> b<i>c</i>&amp;d") == "a  b c  d"
+    assert v("<script>var t='<p>';</script >x<style a>y</STYLE>z") == " x z"
+    assert v("1 < 2 and no end <b") == "1 < 2 and no end <b" and v("<!-- open >x") == " x" and v("<script>x") == " x" and v("") == ""
+    began = time.perf_counter()
+    for part in ("<!--", "<", "<script ", "<html ", "<style>", "</script", "lang=", "<html lang"):
+        text = part * (1_000_000 // len(part))
+        v(text)
+        language_id.declared_language(text)
+    assert time.perf_counter() - began < 8
+    assert language_id.declared_language("<HTML class=x LANG = 'De-at'>") == "de" and language_id.declared_language("<html><p lang=fr>") == ""
 
 
 def test_language(spark, pages):
