@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -21,14 +20,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sextant.llm.common import KEPT, code_points, gather, map_batches, slices, span_hashes, with_field
+from sextant.llm.common import CHUNK_CHARS, KEPT, code_points, gather, map_batches, slices, span_hashes, with_field
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; when there are more, it starts afresh.
 REMEMBERED = 400_000
-#: Longer pieces (bytes) are merged with a heap: a matrix takes a time quadratic in its width.
+#: Longer pieces (bytes) are matrices of one row, in which a round merges all places of the least rank.
 WIDEST = 256
+_BETWEEN = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 _NONE = np.int32(2**31 - 1)
 _BUCKETS = np.array([2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, WIDEST])
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +59,6 @@ class Merges:
                 left, right = ids.get(token[:k]), ids.get(token[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        self.pairs = pairs
         self.bits = max(8, int(4 * len(pairs) + 1).bit_length())
         self.mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, 2**64 - 1, np.uint64)
@@ -128,23 +127,27 @@ class Merges:
             has = at > 0
             ranks[line[has], at[has] - 1] = self.rank(m[line[has], at[has] - 1], m[line[has], at[has]])
 
-    def _heap(self, piece: bytes) -> list[int]:
-        ids = [int(self.byte_ids[b]) for b in piece]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.pairs.get(a << 32 | b)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(ids) and (n := self.pairs.get(ids[x] << 32 | ids[y])) is not None:
-                    heapq.heappush(heap, (n, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
+    def _row(self, ids: np.ndarray) -> np.ndarray:
+        """Ids of one long row. All places of the least rank merge in a round, from the left, unless a lesser rank comes of it: then the leftmost only."""
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            runs = np.append(True, at[1:] != at[:-1] + 1)  # of neighbouring places, which share a token, every other one
+            first = np.flatnonzero(runs)
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            for some in (at, at[:1]):
+                merged = ids.copy()
+                merged[some] = best
+                merged = np.delete(merged, some + 1)
+                new = some - np.arange(len(some))
+                left, right = new[new > 0] - 1, new[new < len(merged) - 1]
+                touched = np.unique(np.concatenate([left, right]))
+                found = self.rank(merged[touched], merged[touched + 1])
+                if len(some) == 1 or not (found < best).any():
+                    break
+            ids, ranks = merged, np.delete(ranks, some)
+            ranks[touched] = found
+        return ids
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and how many each has."""
@@ -167,7 +170,7 @@ class Merges:
                 for rows, ids in self._matrix(m):
                     parts.append((some[rows], ids))
         for i in np.flatnonzero(lengths > WIDEST):
-            parts.append((np.array([i]), np.array([self._heap(pieces[i])], np.int32)))
+            parts.append((np.array([i]), self._row(self.byte_ids[data[starts[i] : starts[i] + lengths[i]]])[None, :]))
         for rows, ids in parts:
             counts[rows] = (ids >= 0).sum(1)
         at = np.cumsum(counts) - counts
@@ -231,10 +234,19 @@ def split_points(points: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np
     return starts[real], ends[real]
 
 
+def _parts(text: str) -> Iterator[str]:
+    a = 0
+    while len(text) - a > CHUNK_CHARS and (m := _BETWEEN.search(text, a + CHUNK_CHARS // 2)):
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:]
+
+
 class Encoder:
     """Encodes lists of texts, remembering pieces between calls.
 
-    The usual pattern is followed by numpy and pieces are known by 64-bit hashes; any other goes through ``regex``.
+    The usual pattern is followed by numpy and pieces are known by their length and a 64-bit hash; any other goes
+    through ``regex``. Long texts are cut where a single space stands between two words, which no piece reaches over.
     """
 
     def __init__(self, merges: Merges, pattern: str = PATTERN):
@@ -267,6 +279,10 @@ class Encoder:
         """Ids of all texts, one after another, and how many each has."""
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if not self.split and max(map(len, texts)) > CHUNK_CHARS:
+            parts = [(i, part) for i, x in enumerate(texts) for part in _parts(x)]
+            found, counts = zip(*(self([x for _, x in parts[a:b]]) for a, b in slices([x for _, x in parts])))
+            return np.concatenate(found), np.bincount([i for i, _ in parts], np.concatenate(counts), len(texts)).astype(np.int64)
         at, sizes, new = self._searched(texts) if self.split else self._hashed(texts)
         if new:
             flat, counts = self.merges.encode(new)
@@ -374,7 +390,9 @@ def decode(df: DataFrame, tokens: str = "tokens", to: str = "decoded", vocabular
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, tokens, n_tokens, lossless``: ids, their number, whether decoding them gives the text back; in one pass.
 
-    A null text has null tokens, which decode to null. Every row has a result, repeated ones too.
+    A null text has null tokens, which decode to null, an empty one none. Every row has a result, repeated ones
+    too. A text that doesn't come back is encoded again without the pieces that the worker remembers, should two
+    have shared a hash. Other columns aren't read.
     """
     shared = _shared(docs.sparkSession, vocabulary)
     docs = docs.select("doc_id", "text")
@@ -386,6 +404,9 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for a, b in slices(texts):
                 tokens = _encoded(encoder, texts[a:b])
                 same = [x == y for x, y in zip(texts[a:b], decoder(tokens))]
+                if not all(same):
+                    tokens = pa.concat_arrays([tokens.slice(i, 1) if good else _encoded(Encoder(encoder.merges), [texts[a + i]]) for i, good in enumerate(same)])
+                    same = [x == y for x, y in zip(texts[a:b], decoder(tokens))]
                 yield [batch.column(0).slice(a, b - a), tokens, tokens.value_lengths(), pa.array(same, pa.bool_())]
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tokens array<int>, n_tokens int, lossless boolean")])

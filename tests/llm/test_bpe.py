@@ -34,6 +34,34 @@ def test_special_shapes(encoder, other):
     assert ids.tolist() == [i for t in texts for i in other.encode_ordinary(t)]
 
 
+def test_long_pieces_by_rows(encoder, other):
+    """Rows of more than WIDEST bytes merge many places in a round; a lesser rank that comes of one stops that."""
+    import random
+
+    r = random.Random(1)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (257, 1000, 4000)] + ["ab" * 2000, "a" * 5001, "漢字" * 300, "".join(r.choice(["ing", "tion", "er", "abcd"]) for _ in range(2000))]
+    ids, counts = encoder(texts)
+    assert ids.tolist() == [i for t in texts for i in other.encode_ordinary(t)] and (counts > 0).all()
+    own = bpe.Merges([bytes([i]) for i in range(256)] + [b"ab", b"cd", b"abcd", b"abc"])
+    pieces = [b"abcdabcabcd" * 50, b"abcd" * 90]
+    ids, _ = own.encode(pieces)
+    assert ids.tolist() == [i for p in pieces for i in plain(own, p)]
+
+
+def plain(merges, piece):
+    ids = merges.byte_ids[list(piece)]
+    while len(ids) > 1:
+        ranks = merges.rank(ids[:-1], ids[1:])
+        if ranks.min() == bpe._NONE:
+            break
+        k = int(ranks.argmin())
+        ids = [*ids[:k], ranks[k], *ids[k + 2 :]]
+        import numpy as np
+
+        ids = np.array(ids, np.int32)
+    return list(ids)
+
+
 def test_round_trip_and_odd_rows(messy, none):
     out = bpe.tokenized(messy)
     rows = out.collect()
