@@ -13,21 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from sextant.llm.common import cut, read, shared_dir, without
+from sextant.llm.common import discard, read, shared_dir
 
 #: SQL can't express the classifier, the template tree, MinHash, spaced seeds or the merges.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects; it is trained on the labelled ones."""
-    scored = toxicity.classify(docs, read(spark, sf_dir, "labels"))
-    return without(docs, cut(scored.where("toxic").select("doc_id").distinct()), "doc_id")
+    """Without the documents that the classifier rejects; it is trained on the labelled ones. Rows without an id are judged, too."""
+    return toxicity.clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without recurring lines, and without the documents that had nothing else."""
-    found = line_dedup.drop_lines(docs, least=1).where("n_dropped = 0 or trim(text) <> ''")
+    """Without recurring lines, and without the documents that had nothing else but white space."""
+    found = line_dedup.drop_lines(docs).where(r"n_dropped = 0 or text rlike '(?U)\\S'")
     return found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -56,10 +55,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each gives is written to the folder that the executors share."""
+    """All stages over ``documents``; what each gives is written to the folder that the executors share, until the next one has read it."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return docs
