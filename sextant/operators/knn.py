@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sextant.arrow import BROADCAST_ROWS, map_arrays, matrix
 from sextant.functions.distance import Metric, distance, kernel, literal
+from sextant.session import ship
 
 MAX_DIM = 2000
 
@@ -29,7 +32,7 @@ def with_distance(df: DataFrame, query: Sequence[float] | Column, metric: str =
 def knn(df: DataFrame, query: Sequence[float] | None, k: int, metric: str = "l2sq", vector: str = "embedding", id: str = "vec_id", where: Column | str | None = None, to: str = "dist") -> DataFrame:
     """The ``k`` rows nearest to ``query`` of those that satisfy ``where``, nearest first, ties by ``id``.
 
-    Rows with a null vector are no candidates, and a null query has no neighbours. Distances are computed by
+    Rows with a null vector, or one whose distance isn't a finite number, are no candidates, and a null query has no neighbours. Distances are computed by
     whole Arrow batches and each task passes on its own ``k`` best rows only.
     """
     metric = Metric.of(metric)
@@ -46,7 +49,8 @@ def knn(df: DataFrame, query: Sequence[float] | None, k: int, metric: str = "l2s
         for batch in batches:
             d = kernel(metric)(matrix(batch.column(at), q.shape[1]), q)[:, 0]
             table = pa.Table.from_arrays([*batch.columns, pa.array(d)], names=[str(i) for i in range(batch.num_columns + 1)])
-            keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            d = np.where(np.isfinite(d), d, np.inf)
+            keep = np.flatnonzero(np.isfinite(d) & (d <= np.partition(d, k - 1)[k - 1] if len(d) > k else True))
             table = table.take(pa.array(keep))
             best = table if best is None else pa.concat_tables([best, table])
             if best.num_rows > 2 * k:
@@ -64,92 +68,164 @@ def range_search(df: DataFrame, query: Sequence[float], max_dist: float, metric:
     return with_distance(df.where(F.col(vector).isNotNull()), query, metric, vector, to).where(F.col(to) < max_dist).orderBy(to, id)
 
 
-def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "l2sq", query_id: str = "query_id", query_vector: str = "embedding", vector: str = "embedding", id: str = "vec_id", chunk: int = BROADCAST_ROWS) -> DataFrame:
-    """``query_id, id, dist, rank`` of the ``k`` nearest rows of ``df`` for every query; null vectors take no part.
-
-    Queries are broadcast ``chunk`` at a time, and ``df`` is read once for each chunk; a task passes on its k
-    best for each query, so the shuffle that ranks them doesn't grow with ``df``'s rows.
+class _Best:
+    """The ``k`` nearest rows of each of ``n`` queries, of blocks of rows that come one after another; ties by id."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.edge = k, np.full(n, np.inf)
+        self.q, self.row, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.ids: pa.Array | None = None
+
+    def add(self, ids: pa.Array, d: np.ndarray) -> None:
+        """``d``: distances by row and query; those that aren't finite don't count."""
+        d = np.where(np.isfinite(d), d, np.inf)
+        edge = self.edge if len(d) <= self.k else np.minimum(self.edge, np.partition(d, self.k - 1, axis=0)[self.k - 1])
+        q, row = np.nonzero(((d <= edge) & np.isfinite(d)).T)
+        base = 0 if self.ids is None else len(self.ids)
+        self.ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        self.q, self.row, self.d = np.append(self.q, q), np.append(self.row, row + base), np.append(self.d, d[row, q])
+        rank = np.empty(len(self.ids), np.int64)
+        rank[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(rank))
+        order = np.lexsort((rank[self.row], self.d, self.q))
+        self.q, self.row, self.d = self.q[order], self.row[order], self.d[order]
+        starts = np.flatnonzero(np.append(True, self.q[1:] != self.q[:-1])) if len(self.q) else np.zeros(0, np.int64)
+        place = np.arange(len(self.q)) - np.repeat(starts, np.diff(np.append(starts, len(self.q))))
+        self.edge[self.q[place == self.k - 1]] = self.d[place == self.k - 1]
+        keep = place < self.k
+        used, back = np.unique(self.row[keep], return_inverse=True)
+        self.q, self.d, self.row, self.ids = self.q[keep], self.d[keep], back, self.ids.take(pa.array(used))
+
+    def columns(self, names: pa.Array) -> list:
+        return [names.take(pa.array(self.q)), self.ids.take(pa.array(self.row)), self.d]
+
+
+def _within(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, metric: Metric, max_dist: float):
+    for a in range(0, len(x), 1000):
+        d = kernel(metric)(x[a : a + 1000], q)
+        row, of = np.nonzero(d < max_dist)
+        yield [names.take(pa.array(of)), ids.take(pa.array(row + a)), d[row, of]]
+
+
+def _against(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str, vector: str, id: str, chunk: int, block: int, compare) -> DataFrame:
+    """``query_id, id, dist`` of what ``compare(names, queries, batches)`` finds.
+
+    Up to ``chunk`` queries are broadcast and ``df`` isn't shuffled. More are split, like ``df``, in blocks by
+    hash; each pair of blocks meets in one task.
     """
-    metric = Metric.of(metric)
     spark = df.sparkSession
+    ship(spark)
     wanted = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
-    kinds = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id, df.schema[id].dataType), T.StructField("dist", T.DoubleType())])
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id, df.schema[id].dataType), T.StructField("dist", T.DoubleType())])
     base = df.where(F.col(vector).isNotNull()).select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
-    parts = max(1, -(-wanted.count() // chunk))
-
-    def part(n: int) -> DataFrame:
-        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == n)
-        table = own.toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast((table.column("q").to_pylist(), matrix(table.column("v").chunk(0)) if table.num_rows else np.zeros((0, 0))))
+    n = wanted.count()
+    if n <= chunk:
+        table = wanted.toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((table.column("q").chunk(0), matrix(table.column("v").chunk(0))) if n else None)
 
         def run(batches):
-            names, q = shared.value
-            ids: list = []
-            best = np.zeros((0, len(names)))
-            if not names:
-                return
-            rows: np.ndarray | None = None
-            for batch in batches:
-                d = kernel(metric)(matrix(batch.column(1), q.shape[1]), q)
-                own = np.broadcast_to(np.arange(len(ids), len(ids) + len(d))[:, None], d.shape)
-                ids += batch.column(0).to_pylist()
-                d = np.concatenate([best, d])
-                rows = own if rows is None else np.concatenate([rows, own])
-                if len(d) > k:  # ties with the k-th stay until they are ranked by id
-                    edge = np.partition(d, k - 1, axis=0)[k - 1]
-                    order = np.argsort(d, axis=0, kind="stable")[: int((d <= edge).sum(0).max())]
-                    d, rows = np.take_along_axis(d, order, 0), np.take_along_axis(rows, order, 0)
-                best = d
-            if rows is None:
-                return
-            for j, name in enumerate(names):
-                edge = np.sort(best[:, j])[min(k, len(best)) - 1]
-                keep = np.flatnonzero(best[:, j] <= edge)
-                yield [pa.array([name] * len(keep)), pa.array([ids[i] for i in rows[keep, j]]), best[keep, j]]
-
-        return map_arrays(base, run, kinds)
-
-    found = part(0)
-    for n in range(1, parts):
-        found = found.unionByName(part(n))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("dist", id))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+            if shared.value is not None:
+                names, q = shared.value
+                yield from compare(names, q, ((b.column(0), matrix(b.column(1), q.shape[1])) for b in batches))
+
+        return map_arrays(base, run, schema)
+    ones, twos = -(-n // chunk), max(1, -(-base.count() // block))
+    left = wanted.select(F.pmod(F.xxhash64("q"), F.lit(ones)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(twos - 1)).cast("array<long>")).alias("b"), "q", "v")
+    right = base.select(F.explode(F.sequence(F.lit(0), F.lit(ones - 1)).cast("array<long>")).alias("a"), F.pmod(F.xxhash64("_id"), F.lit(twos)).alias("b"), "_id", "_v")
+    target = to_arrow_schema(schema)
+
+    def pair(one: pa.Table, two: pa.Table) -> pa.Table:
+        one, two = one.combine_chunks(), two.combine_chunks()
+        found = []
+        if one.num_rows and two.num_rows:
+            q = matrix(one.column("v").chunk(0))
+            batches = ((b.column("_id"), matrix(b.column("_v"), q.shape[1])) for b in two.to_batches(max_chunksize=10_000))
+            found = [pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, target)], schema=target) for columns in compare(one.column("q").chunk(0), q, batches)]
+        return pa.Table.from_batches(found, target)
 
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, schema)
 
-def range_join(queries: DataFrame, df: DataFrame, max_dist: float, metric: str = "l2sq", query_id: str = "query_id", query_vector: str = "embedding", vector: str = "embedding", id: str = "vec_id", chunk: int = BROADCAST_ROWS) -> DataFrame:
-    """``query_id, id, dist`` of all rows of ``df`` whose distance from a query is less than ``max_dist``; null vectors take no part.
 
-    Queries are broadcast ``chunk`` at a time, and ``df`` is read once for each chunk.
+def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "l2sq", query_id: str = "query_id", query_vector: str = "embedding", vector: str = "embedding", id: str = "vec_id", chunk: int = BROADCAST_ROWS, block: int = 100_000) -> DataFrame:
+    """``query_id, id, dist, rank`` of the ``k`` nearest rows of ``df`` for every query, ties by ``id``.
+
+    Null vectors, and those whose distance isn't a finite number, take no part. A task passes on its k best for
+    each query, so the shuffle that ranks them doesn't grow with ``df``'s rows.
     """
     metric = Metric.of(metric)
-    spark = df.sparkSession
-    wanted = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
-    kinds = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id, df.schema[id].dataType), T.StructField("dist", T.DoubleType())])
-    base = df.where(F.col(vector).isNotNull()).select(F.col(id).alias("_id"), F.col(vector).alias("_v"))
-    parts = max(1, -(-wanted.count() // chunk))
 
-    def part(n: int) -> DataFrame:
-        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == n)
-        table = own.toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast((table.column("q").chunk(0), matrix(table.column("v").chunk(0))) if table.num_rows else None)
+    def compare(names, q, batches):
+        best = _Best(k, len(q))
+        for ids, x in batches:
+            best.add(ids, kernel(metric)(x, q))
+        if best.ids is not None:
+            yield best.columns(names)
 
-        def run(batches):
-            if shared.value is None:
-                return
-            names, q = shared.value
-            for batch in batches:
-                x = matrix(batch.column(1), q.shape[1])
-                for a in range(0, len(x), 1000):
-                    d = kernel(metric)(x[a : a + 1000], q)
-                    row, of = np.nonzero(d < max_dist)
-                    yield [names.take(pa.array(of)), batch.column(0).take(pa.array(row + a)), d[row, of]]
-
-        return map_arrays(base, run, kinds)
-
-    found = part(0)
-    for n in range(1, parts):
-        found = found.unionByName(part(n))
-    return found
+    return ranked(_against(queries, df, query_id, query_vector, vector, id, chunk, block, compare), k, query_id, id)
+
+
+def ranked(found: DataFrame, k: int, query_id: str = "query_id", id: str = "vec_id") -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("dist", id))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def range_join(queries: DataFrame, df: DataFrame, max_dist: float, metric: str = "l2sq", query_id: str = "query_id", query_vector: str = "embedding", vector: str = "embedding", id: str = "vec_id", chunk: int = BROADCAST_ROWS, block: int = 100_000) -> DataFrame:
+    """``query_id, id, dist`` of all rows of ``df`` whose distance from a query is less than ``max_dist``; null vectors take no part."""
+    metric = Metric.of(metric)
+
+    def compare(names, q, batches):
+        for ids, x in batches:
+            yield from _within(names, q, ids, x, metric, max_dist)
+
+    return _against(queries, df, query_id, query_vector, vector, id, chunk, block, compare)
+
+
+def weighted_join(queries: DataFrame, df: DataFrame, weights: Sequence[float], k: int, metric: str = "cos", query_id: str = "query_id", query_vectors: str = "vectors", vector: str = "embedding", id: str = "vec_id", ef: int | None = None, max_dist: float | None = None) -> DataFrame:
+    """``query_id, id, dist, rank`` of the ``k`` rows with the least weighted sum of distances from the vectors of each query (an array of them).
+
+    Exact without ``ef``; with it, the candidates are the ``ef`` rows nearest to each of the vectors.
+    """
+    metric, weights = Metric.of(metric), np.array(weights, float)
+    many = len(weights)
+    flat = queries.select(query_id, F.flatten(F.transform(query_vectors, lambda v: v.cast("array<double>"))).alias("_q"))
+
+    def compare(names, q, batches):
+        q = q.reshape(len(q) * many, -1)
+        best = _Best(k, len(names)) if ef is None else _Best(ef, len(names) * many)
+        for ids, x in batches:
+            d = kernel(metric)(x[:, : q.shape[1]], q)
+            if ef is None:
+                total = (d.reshape(len(x), -1, many) * weights).sum(2)
+                best.add(ids, np.where(total < max_dist, total, np.inf) if max_dist is not None else total)
+            else:
+                best.add(ids, d)
+        if best.ids is not None:
+            yield best.columns(names if ef is None else names.take(pa.array(np.repeat(np.arange(len(names)), many))))
+
+    if ef is None:
+        wide = df.withColumn(vector, F.flatten(F.array_repeat(F.col(vector).cast("array<double>"), many)))  # as long as the queries, which are laid end to end
+        return ranked(_against(flat, wide, query_id, "_q", vector, id, BROADCAST_ROWS, 100_000, compare), k, query_id, id)
+    near = None
+    for i in range(many):
+        one = knn_join(queries.select(query_id, F.col(query_vectors)[i].alias("_q")), df, ef, metric, query_id, "_q", vector, id).select(query_id, id)
+        near = one if near is None else near.unionByName(one)
+    full = near.distinct().join(df.select(id, F.col(vector).alias("_v")), id).join(queries.select(query_id, F.col(query_vectors).alias("_qs")), query_id)
+    total = sum(F.lit(float(w)) * distance(metric, F.col("_v"), F.col("_qs")[i]) for i, w in enumerate(weights))
+    found = full.select(query_id, id, total.alias("dist"))
+    return ranked(found if max_dist is None else found.where(F.col("dist") < max_dist), k, query_id, id)
+
+
+def pages(df: DataFrame, query: Sequence[float], size: int, metric: str = "l2sq", vector: str = "embedding", id: str = "vec_id") -> Iterator[DataFrame]:
+    """The rows by distance, ``size`` at a time, for as long as there are more: each page starts behind the last row of the one before."""
+    last = None
+    while True:
+        rows = with_distance(df.where(F.col(vector).isNotNull()), query, metric, vector)
+        rows = rows if last is None else rows.where((F.col("dist") > last.dist) | (F.col("dist") == last.dist) & (F.col(id) > last[id]))
+        page = rows.orderBy("dist", id).limit(size)
+        ends = page.select("dist", id).collect()
+        if not ends:
+            return
+        last = ends[-1]
+        yield page
 
 
 def _joint(vectors: Sequence[tuple[float, str, Sequence[float]]], metric: str) -> Column:
