@@ -1,31 +1,44 @@
 """Approximate nearest neighbours: an inverted file of cells with exact re-ranking.
 
 A graph that grows row by row doesn't spread over a cluster. Here vectors are assigned to the nearest of
-``nlist`` centres and stored by cell, so a search reads the files of the ``nprobe`` nearest cells only and
-ranks their vectors exactly. The options of a graph index are checked and mapped: ``ef``, the candidates that
-a search looks at, gives the number of cells.
+``nlist`` centres and stored by cell, so a search reads the files of the nearest cells only and ranks their
+vectors exactly. How many cells that are is measured when the index is built: the fewest with which
+``SAMPLE_QUERIES`` of its own rows find a share of ``RECALL`` of their true neighbours. ``ef``, the candidates
+that a search looks at, raises or lowers that number in proportion. The centres are trained on a bounded sample
+of ``train_rows``; every row is indexed.
+
+All of an index is below its path: the cells, the centres, the options and the ids that were deleted.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sextant.arrow import map_arrays, matrix
+from sextant.arrow import exists, map_arrays, matrix
 from sextant.functions.distance import Metric, kernel
 from sextant.functions.vectors import scalar_quantize
 from sextant.operators import knn as exact
-from sextant.operators.quantize import TRAIN_ROWS, lloyd, load_codebook, quantize
+from sextant.operators.quantize import TRAIN_ROWS, lloyd, load_codebook, nearest, quantize
+from sextant.session import ship
 
 #: Cells at most: their centres are broadcast.
-MAX_LISTS = 65_536
+MAX_LISTS = 4096
+#: Rows of a cell that a task of ``search_join`` takes at most.
+CELL_ROWS = 65_536
+#: Rows that are asked for when an index is built, their neighbours, and the share of these that must be found.
+SAMPLE_QUERIES, SAMPLE_K, RECALL = 200, 10, 0.95
+#: The ``ef`` at which as many cells are read as that takes.
+DEFAULT_EF = 64
 
 
 @dataclass(frozen=True)
@@ -53,7 +66,7 @@ class Options:
 
 @dataclass
 class Index:
-    """Vectors by cell in a folder, their centres, and the ids that were deleted."""
+    """Vectors by cell below ``path``, and their centres."""
 
     spark: SparkSession
     path: str
@@ -62,17 +75,22 @@ class Index:
     id: str = "vec_id"
     vector: str = "embedding"
     codebook: DataFrame | None = None
-    deleted: list[int] = field(default_factory=list)
+    probes: int = 1
+
+    def deleted(self) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/deleted").distinct() if exists(self.spark, f"{self.path}/deleted") else None
 
     def table(self) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/cells")
-        return df.where(~F.col(self.id).isin(self.deleted)) if self.deleted else df
+        df, gone = self.spark.read.parquet(f"{self.path}/cells"), self.deleted()
+        return df if gone is None else df.join(gone, self.id, "left_anti").select(df.columns)
 
-    def cells_of(self, query: Sequence[float], ef: int) -> list[int]:
-        """The nearest cells that hold about ``ef`` candidates for each result wanted, an eighth of all at least."""
+    def n_cells(self, ef: int | None = None) -> int:
+        """How many cells a search with ``ef`` reads."""
+        return max(1, min(len(self.centres), math.ceil(self.probes * (ef or self.options.ef) / DEFAULT_EF)))
+
+    def cells_of(self, query: Sequence[float], ef: int | None = None) -> list[int]:
         d = kernel(self.options.metric)(self.centres, np.array(query, np.float64)[None])[:, 0]
-        n = max(1, min(len(d), math.ceil(len(d) * min(1.0, max(1 / 8, ef / 400)))))
-        return np.argsort(d, kind="stable")[:n].tolist()
+        return np.argsort(d, kind="stable")[: self.n_cells(ef)].tolist()
 
 
 def _assigned(df: DataFrame, centres: np.ndarray, metric: str, vector: str) -> DataFrame:
@@ -81,8 +99,7 @@ def _assigned(df: DataFrame, centres: np.ndarray, metric: str, vector: str) -> D
 
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column(at), shared.value.shape[1])
-            yield [*batch.columns, kernel(metric)(x, shared.value).argmin(1).astype(np.int32)]
+            yield [*batch.columns, nearest(matrix(batch.column(at), shared.value.shape[1]), shared.value, metric).astype(np.int32)]
 
     return map_arrays(df, run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())]))
 
@@ -91,7 +108,7 @@ def build(df: DataFrame, path: str, options: Options = Options(), id: str = "vec
     """An index below ``path`` of the rows that satisfy ``where``; null vectors are left out.
 
     The dimension is that of ``options`` or of the vectors; another one raises ValueError. An empty table
-    needs ``options.dim``.
+    needs ``options.dim``. Centres are trained on ``train_rows`` rows at most, and 64 for each cell, chosen by hash.
     """
     df = (df.where(where) if where is not None else df).where(F.col(vector).isNotNull())
     sizes = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
@@ -105,14 +122,50 @@ def build(df: DataFrame, path: str, options: Options = Options(), id: str = "vec
     if options.pq and codebook is None:
         raise ValueError("PQ index needs a codebook")
     lists = options.nlist or max(1, min(MAX_LISTS, round(math.sqrt(sizes.n))))
-    sample = df.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v"), F.to_json("v")).limit(min(options.train_rows, 64 * lists)).toArrow().combine_chunks()
+    wanted = min(options.train_rows, 64 * lists)
+    share = max(1, sizes.n // max(1, 2 * wanted))  # a few more than wanted, so that no row but those is sorted
+    vectors = df.select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(id).alias("h"))
+    sample = vectors.where(F.pmod("h", F.lit(share)) == 0).orderBy("h").limit(wanted).select("v").toArrow().combine_chunks()
     x = matrix(sample.column("v").chunk(0)) if sample.num_rows else np.zeros((1, dim))
     centres = lloyd(x, min(lists, len(x)), options.metric, rounds=20, tolerance=1e-4)
     index = Index(df.sparkSession, path, options, centres, id, vector, codebook)
     insert(index, df, mode="overwrite")
+    index.probes = _probes(index) if sizes.n else 1
+    _save(index)
     return index
 
 
+def _probes(index: Index) -> int:
+    """The fewest cells with which a sample of rows find a share of RECALL of their neighbours, by brute force."""
+    rows = index.spark.read.parquet(f"{index.path}/cells")
+    asked = rows.select(F.col(index.id).alias("query_id"), index.vector).orderBy(F.xxhash64(index.id, F.lit(7)), index.id).limit(SAMPLE_QUERIES)
+    asked = index.spark.createDataFrame(asked.toArrow())
+    truth = exact.knn_join(asked, rows, SAMPLE_K, index.options.metric, query_vector=index.vector, vector=index.vector, id=index.id).select("query_id", index.id)
+    cells = truth.join(rows.select(index.id, "cell"), index.id).join(asked, "query_id").select(F.col(index.vector).cast("array<double>").alias("v"), "cell").toArrow().combine_chunks()
+    if not cells.num_rows:
+        return 1
+    d = kernel(index.options.metric)(matrix(cells.column("v").chunk(0)), index.centres)
+    own = d[np.arange(len(d)), cells.column("cell").to_numpy()]
+    needed = np.sort((d < own[:, None]).sum(1) + 1)
+    return int(needed[math.ceil(RECALL * len(needed)) - 1])
+
+
+def _save(index: Index) -> None:
+    text = json.dumps({"options": asdict(index.options), "id": index.id, "vector": index.vector, "probes": index.probes})
+    index.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{index.path}/options")
+    index.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(index.centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{index.path}/centres")
+    if index.codebook is not None:
+        index.codebook.write.mode("overwrite").parquet(f"{index.path}/codebook")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that was built below ``path``, by any session."""
+    said = json.loads(spark.read.text(f"{path}/options").first().value)
+    centres = np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
+    codebook = spark.read.parquet(f"{path}/codebook") if exists(spark, f"{path}/codebook") else None
+    return Index(spark, path, Options(**said["options"]), centres, said["id"], said["vector"], codebook, said["probes"])
+
+
 def insert(index: Index, df: DataFrame, mode: str = "append") -> None:
     """More rows, each into the cell of its nearest centre."""
     o = index.options
@@ -124,15 +177,19 @@ def insert(index: Index, df: DataFrame, mode: str = "append") -> None:
     rows.repartition("cell").write.mode(mode).partitionBy("cell").parquet(f"{index.path}/cells")
 
 
-def delete(index: Index, ids: Sequence[int]) -> None:
+def delete(index: Index, ids: Sequence[int] | DataFrame) -> None:
     """Marks ids as deleted; ``vacuum`` takes their rows out."""
-    index.deleted = sorted({*index.deleted, *ids})
+    kind = index.spark.read.parquet(f"{index.path}/cells").schema[index.id].dataType
+    gone = ids.select(F.col(index.id).cast(kind)) if isinstance(ids, DataFrame) else index.spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(index.id, kind)]))
+    gone.write.mode("append").parquet(f"{index.path}/deleted")
 
 
 def vacuum(index: Index, path: str) -> Index:
     """The index without deleted rows, below another path."""
     index.table().repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    return Index(index.spark, path, index.options, index.centres, index.id, index.vector, index.codebook)
+    new = Index(index.spark, path, index.options, index.centres, index.id, index.vector, index.codebook, index.probes)
+    _save(new)
+    return new
 
 
 def search(index: Index, query: Sequence[float] | None, k: int = 10, ef: int | None = None, where: Column | str | None = None, rerank: int | None = None) -> DataFrame:
@@ -144,7 +201,7 @@ def search(index: Index, query: Sequence[float] | None, k: int = 10, ef: int | N
     table = index.table()
     if query is None:
         return exact.knn(table, None, k, index.options.metric, index.vector, index.id)
-    near = table.where(F.col("cell").isin(index.cells_of(query, ef or index.options.ef)))
+    near = table.where(F.col("cell").isin(index.cells_of(query, ef)))
     if where is not None:
         near, table = near.where(where), table.where(where)
         if near.limit(k).count() < k:
@@ -162,6 +219,49 @@ def search(index: Index, query: Sequence[float] | None, k: int = 10, ef: int | N
     return exact.knn(near, query, k, o.metric, index.vector, index.id).drop("cell", "code")
 
 
+def search_join(index: Index, queries: DataFrame, k: int = 10, ef: int | None = None, where: Column | str | None = None, query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
+    """``query_id, id, dist, rank``: the ``k`` nearest rows in the nearest cells of each query; null vectors have none.
+
+    Each query goes to its cells, where it meets their rows in blocks of CELL_ROWS; ``where`` chooses rows.
+    """
+    spark, o, probes = index.spark, index.options, index.n_cells(ef)
+    ship(spark)
+    table = index.table()
+    rows = (table.where(where) if where is not None else table).select("cell", F.col(index.id).alias("i"), F.col(index.vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("w"))
+    shared = spark.sparkContext.broadcast(index.centres)
+
+    def choose(batches):
+        for batch in batches:
+            d = kernel(o.metric)(matrix(batch.column(1), shared.value.shape[1]), shared.value)
+            cells = np.argsort(d, axis=1, kind="stable")[:, :probes]
+            at = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
+            yield [cells.ravel().astype(np.int32), batch.column(0).take(at), batch.column(1).take(at)]
+
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema.fields])
+    sizes = {r.cell: -(-r.n // CELL_ROWS) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.element_at(F.lit([sizes.get(c, 1) for c in range(len(index.centres))]).cast("array<int>"), F.col("cell") + 1)
+    left = map_arrays(asked, choose, schema).select("cell", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<long>")).alias("part"), "q", "w")
+    right = rows.select("cell", F.pmod(F.xxhash64("i"), parts).alias("part"), "i", "v")
+    out = T.StructType([T.StructField(query_id, asked.schema["q"].dataType), T.StructField(index.id, rows.schema["i"].dataType), T.StructField("dist", T.DoubleType())])
+    target = to_arrow_schema(out)
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return pa.Table.from_batches([], target)
+        one, two = one.combine_chunks(), two.combine_chunks()
+        q, names = matrix(one.column("w").chunk(0)), one.column("q").chunk(0)
+        tables = []
+        for a in range(0, len(q), 500):
+            best = exact._Best(k, len(q[a : a + 500]))
+            for b in two.to_batches(max_chunksize=8192):
+                best.add(b.column(b.schema.get_field_index("i")), kernel(o.metric)(matrix(b.column(b.schema.get_field_index("v")), q.shape[1]), q[a : a + 500]))
+            tables.append(pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in best.columns(names.slice(a, 500))], schema=target))
+        return pa.concat_tables(tables)
+
+    return exact.ranked(left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(meet, out), k, query_id, index.id)
+
+
 def validate(index: Index) -> dict[str, int]:
     """Checks every row's cell and dimension; raises ValueError; returns counts."""
     table = index.table()
@@ -169,13 +269,12 @@ def validate(index: Index) -> dict[str, int]:
     wrong = table.join(again, table[index.id] == F.col("i")).where("cell <> right").count()
     if wrong:
         raise ValueError(f"{wrong} rows are in the wrong cell")
-    return {"rows": table.count(), "cells": table.select("cell").distinct().count(), "deleted": len(index.deleted)}
+    return {"rows": table.count(), "cells": table.select("cell").distinct().count(), "deleted": 0 if (gone := index.deleted()) is None else gone.count()}
 
 
-def expected_visits(rows: int, options: Options = Options()) -> float:
+def expected_visits(index: Index, rows: int, ef: int | None = None) -> float:
     """Vectors that a search is expected to look at: what decides whether an exact scan is as cheap."""
-    lists = options.nlist or max(1, min(MAX_LISTS, round(math.sqrt(max(1, rows)))))
-    return lists + rows * min(1.0, max(1 / 8, options.ef / 400))
+    return len(index.centres) + rows * index.n_cells(ef) / len(index.centres)
 
 
 def memory_bytes(rows: int, dim: int, options: Options = Options()) -> int:

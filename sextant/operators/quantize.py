@@ -24,6 +24,12 @@ def spans(dim: int, subvectors: int) -> list[tuple[int, int]]:
     return [(i * size, dim if i == subvectors - 1 else (i + 1) * size) for i in range(subvectors)]
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, metric: str = "l2sq", block: int = 1 << 22) -> np.ndarray:
+    """The nearest centre of each row, the lowest of equals; ``block`` distances at a time."""
+    step = max(1, block // max(1, len(centres)))
+    return np.concatenate([kernel(metric)(x[i : i + step], centres).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
 def lloyd(x: np.ndarray, clusters: int, metric: str = "l2sq", rounds: int = ROUNDS, tolerance: float = TOLERANCE, seed: int = 0) -> np.ndarray:
     """k-means from distinct random rows; a cluster without points keeps its centre. Ends when centres move by ``tolerance`` at most on average."""
     distances = kernel(metric)
@@ -33,10 +39,9 @@ def lloyd(x: np.ndarray, clusters: int, metric: str = "l2sq", rounds: int = ROUN
     if len(centres) < clusters:
         centres = np.concatenate([centres, np.repeat(centres[-1:], clusters - len(centres), 0)])
     for _ in range(rounds):
-        nearest = distances(x, centres).argmin(1)
-        counts = np.bincount(nearest, minlength=clusters)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, x)
+        own = nearest(x, centres, metric)
+        counts = np.bincount(own, minlength=clusters)
+        sums = np.stack([np.bincount(own, column, clusters) for column in x.T], 1)
         new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
         moved = np.mean([distances(a[None], b[None])[0, 0] for a, b in zip(new, centres)])
         centres = new
@@ -96,7 +101,7 @@ def quantize(df: DataFrame, codebook: DataFrame, metric: str = "l2sq", vector: s
             column = batch.column(at)
             valid = column.is_valid().to_numpy(zero_copy_only=False)
             x = matrix(column.filter(column.is_valid()), int(edges[-1]))
-            codes = np.stack([kernel(metric)(x[:, a:b], c).argmin(1) for a, b, c in zip(edges, edges[1:], centres)], 1).astype(np.int16)
+            codes = np.stack([nearest(x[:, a:b], c, metric) for a, b, c in zip(edges, edges[1:], centres)], 1).astype(np.int16)
             out: list = [None] * len(valid)
             for i, row in zip(np.flatnonzero(valid).tolist(), codes):
                 out[i] = row
