@@ -2,16 +2,20 @@
 
 The index has a row for each term and document (``term, doc_id, fq, doc_len``), so that a common term's
 postings are many rows and not one that must fit in memory; ``packed`` gives the form with one row a term.
+
+It is stored as Parquet, sorted by term, so that a search's terms are pushed down and only the row groups that
+may have them are read; their document frequencies are stored beside it, and the corpus's numbers.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.arrow import cut
+from sextant.arrow import shared_dir
 from sextant.functions import bloom
 
 K1, B, THRESHOLD = 1.2, 0.75, 8000
@@ -36,14 +40,27 @@ class Index:
     avg_len: float
 
 
-def build(df: DataFrame, id: str = "doc_id", tokens: str = "tokens", write: bool = True) -> Index:
-    """Index of a column of token arrays. Null arrays count as documents without words; the mean length has two decimals."""
+def build(df: DataFrame, id: str = "doc_id", tokens: str = "tokens", write: bool = True, path: str | None = None) -> Index:
+    """Index of a column of token arrays, below ``path`` or in a folder of its own. Null arrays count as documents without words; the mean length has two decimals."""
+    spark = df.sparkSession
     docs = df.select(F.col(id).alias("doc_id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("t"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("t")) * 100).alias("a")).first()
     long = docs.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("fq"), F.first("doc_len").alias("doc_len"))
     postings = long.select("term", "doc_id", "fq", "doc_len")
-    postings = cut(postings) if write else postings
-    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.n, (stats.a or 0.0) / 100)
+    if not write:
+        return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.n, (stats.a or 0.0) / 100)
+    path = path or f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    # ranges of term and document: a term of very many documents is spread over several files
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    spark.createDataFrame([(stats.n, (stats.a or 0.0) / 100)], "n_docs long, avg_len double").coalesce(1).write.parquet(f"{path}/stats")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that was built below ``path``, by any session."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stats.n_docs, stats.avg_len)
 
 
 def packed(index: Index, threshold: int = THRESHOLD) -> DataFrame:
@@ -79,17 +96,19 @@ def aggregate(rows: DataFrame, limit: int | None, n: int, avg_len: float, k1: fl
     return scored if limit is None else scored.limit(limit)
 
 
-def search(index: Index, query: list[str], limit: int | None = 10, k1: float = K1, b: float = B, approx: int | None = None, content: DataFrame | None = None, content_id: str = "doc_id") -> DataFrame:
+def search(index: Index, query: list[str], limit: int | None = 10, k1: float = K1, b: float = B, approx: int | None = None, content: DataFrame | None = None, content_id: str = "doc_id", parameters: Parameters | None = None) -> DataFrame:
     """The best documents for the query's terms; each counts once. ``content``'s columns are joined by its id.
 
     With ``approx``, terms of more documents than that count as if they occurred once in a document of mean
-    length, so that their long postings' frequencies needn't be read.
+    length, so that their long postings' frequencies needn't be read. ``parameters`` stand for k1, b and approx.
     """
+    if parameters is not None:
+        k1, b, approx = parameters.k1, parameters.b, parameters.threshold
     terms = sorted({t for t in query if t is not None})
     if index.n_docs == 0 or not terms:
         return index.postings.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
     own = index.postings.where(F.col("term").isin(terms))
-    found = own.join(F.broadcast(own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term")
+    found = own.join(F.broadcast(index.terms.where(F.col("term").isin(terms))), "term")  # as many rows as the query has terms
     if approx is not None:
         common = F.col("df") > approx
         found = found.withColumn("fq", F.when(common, F.least("fq", F.lit(1))).otherwise(F.col("fq"))).withColumn("doc_len", F.when(common, F.lit(index.avg_len)).otherwise(F.col("doc_len")))
