@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -12,34 +13,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEED, FALSE_POSITIVES = 42, 0.01
+_MASK = 2**64 - 1
 
 
-def _bytes(x) -> bytes:
-    return x.encode() if isinstance(x, str) else int(x).to_bytes(8, "little", signed=True)
+def _hash(x) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(x.encode() if isinstance(x, str) else int(x).to_bytes(8, "little", signed=True), SEED)
+    return h & _MASK, (h >> 64) | 1
 
 
-def _places(x, bits: int, hashes: int):
-    h = xxhash.xxh3_128_intdigest(_bytes(x), SEED)
-    a, b = h & (2**64 - 1), (h >> 64) | 1
-    return [(a + i * b) % bits for i in range(hashes)]
+def _hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each value; every different one is hashed once."""
+    which, different = pd.factorize(values)
+    found = np.array([_hash(x) for x in different], np.uint64).reshape(-1, 2)
+    return found[which, 0], found[which, 1]
+
+
+def _sizes(n: np.ndarray, false_positives: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and hashes of filters of ``n`` different values."""
+    n = np.maximum(1, n)
+    bits = np.maximum(8, np.ceil(-n * math.log(false_positives) / math.log(2) ** 2))
+    return -(-bits.astype(np.int64) // 8), np.maximum(1, np.rint(bits / n * math.log(2))).astype(np.int64)
+
+
+def make_all(lists: list, false_positives: float = FALSE_POSITIVES) -> list[bytes | None]:
+    """A filter for each list, sized for its different values, nulls left out; None of None."""
+    rows = [np.array([v for v in x if v is not None and v == v], object) if x is not None else np.zeros(0, object) for x in lists]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    which, different = pd.factorize(np.concatenate([*rows, np.zeros(0, object)]))
+    pairs = np.unique(row.astype(np.int64) << 32 | which)
+    row, which = pairs >> 32, pairs & 0xFFFFFFFF
+    size, hashes = _sizes(np.bincount(row, minlength=len(rows)), false_positives)
+    a, b = _hashes(different) if len(different) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    starts = np.cumsum(size) - size
+    data = np.zeros(int(size.sum()), np.uint8)
+    for i in range(int(hashes.max(initial=0))):
+        use = hashes[row] > i
+        r, w = row[use], which[use]
+        place = (a[w] + np.uint64(i) * b[w]) % (size[r] * 8).astype(np.uint64)
+        np.bitwise_or.at(data, starts[r] + (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+    return [None if x is None else struct.pack("<I", int(h)) + data[s : s + n].tobytes() for x, h, s, n in zip(lists, hashes, starts.tolist(), size.tolist())]
 
 
 def make(values, false_positives: float = FALSE_POSITIVES) -> bytes:
-    """Sized for the different values; nulls are left out."""
-    items = {x for x in values if x is not None and x == x}
-    n = max(1, len(items))
-    bits = max(8, math.ceil(-n * math.log(false_positives) / math.log(2) ** 2))
-    hashes = max(1, round(bits / n * math.log(2)))
-    data = bytearray(-(-bits // 8))
-    for x in items:
-        for p in _places(x, len(data) * 8, hashes):
-            data[p >> 3] |= 1 << (p & 7)
-    return struct.pack("<I", hashes) + bytes(data)
+    return make_all([list(values)], false_positives)[0]
+
+
+def contains_all(filters: list, values: list) -> list[bool | None]:
+    """Whether each filter may have the value beside it; None where either is missing."""
+    there = np.array([f is not None and v is not None and v == v for f, v in zip(filters, values)], bool)
+    at = np.flatnonzero(there)
+    out: list[bool | None] = [None] * len(there)
+    if len(at):
+        parts = [filters[i] for i in at]
+        sizes = np.array([len(f) for f in parts])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        hashes = np.ascontiguousarray(flat[starts[:, None] + np.arange(4)]).view("<u4")[:, 0]
+        a, b = _hashes(np.array([values[i] for i in at], object))
+        good = np.ones(len(at), bool)
+        for i in range(int(hashes.max())):
+            place = (a + np.uint64(i) * b) % ((sizes - 4) * 8).astype(np.uint64)
+            bit = flat[starts + 4 + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+            good &= (bit > 0) | (hashes <= i)
+        for i, g in zip(at.tolist(), good.tolist()):
+            out[i] = g
+    return out
 
 
 def contains(filter_: bytes, x) -> bool:
-    hashes = struct.unpack_from("<I", filter_)[0]
-    return all(filter_[4 + (p >> 3)] >> (p & 7) & 1 for p in _places(x, (len(filter_) - 4) * 8, hashes))
+    return bool(contains_all([filter_], [x])[0])
 
 
 def array_to_bloom(values: Column) -> Column:
@@ -47,7 +89,7 @@ def array_to_bloom(values: Column) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else make(v))
+        return pd.Series(make_all(list(s)), dtype=object)
 
     return run(values)
 
@@ -57,6 +99,6 @@ def elem_in_bloom(element: Column, bloom: Column) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def run(x: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or v != v or f is None else contains(f, v) for v, f in zip(x, b)], dtype=object)
+        return pd.Series(contains_all(list(b), list(x)), dtype=object)
 
     return run(element, bloom)

@@ -6,6 +6,7 @@ import functools
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,30 +132,33 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-def stem_array(text: Column, engine: str = "rust", strategy: str = "english", user_stop_words: Iterable[str] = ()) -> Column:
+def stem_array(text: Column, engine: str = "rust", strategy: str = "english", user_stop_words: Iterable[str] | None = None) -> Column:
     """Stems of a text's words, without stop words; null of null.
 
     Engine "rust" drops its stop words after stemming; "tsvector" drops the longer list before, as do the
-    user's own words in both; its strategy "simple" neither stems nor drops.
+    user's own words in both (``user_stop_words``; without that, those that ``set_user_stop_words`` gave the
+    session); its strategy "simple" neither stems nor drops any but those.
     """
     if engine not in ("rust", "tsvector"):
         raise ValueError(f"invalid engine: {engine}")
     if strategy not in ("english", "simple"):
         raise ValueError(f"invalid strategy: {strategy}")
-    own = frozenset(x.lower() for x in user_stop_words)
+    if user_stop_words is None:
+        spark = SparkSession.getActiveSession()
+        user_stop_words = (spark.conf.get(_STOPS, "") or "").split("\n") if spark else ()
+    own = frozenset(x.lower() for x in user_stop_words if x)
     if engine == "tsvector" and strategy == "simple":
         return F.filter(tokens(text), lambda x: ~x.isin(*own)) if own else tokens(text)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
-        def stems(words):
-            if words is None:
-                return None
-            if engine == "rust":
-                return [x for x in (stem(w) for w in words if w not in own) if x not in STOP_WORDS]
-            return [stem(w) for w in words if w not in own and w not in FULL_STOP_WORDS]
-
-        return s.map(stems)
+        lists = [x if x is not None else [] for x in s]
+        which, different = pd.factorize(np.concatenate([*(np.asarray(x, object) for x in lists), np.zeros(0, object)]))
+        # each different word is stemmed once
+        found = [None if w in own or (engine == "tsvector" and w in FULL_STOP_WORDS) else stem(w) for w in different]
+        kept = np.array([x is not None and not (engine == "rust" and x in STOP_WORDS) for x in found], bool)
+        stems, ends = np.array(found, object), np.cumsum([0, *map(len, lists)])
+        return pd.Series([None if x is None else stems[w[kept[w]]] for x, w in ((x, which[a:b]) for x, a, b in zip(s, ends, ends[1:]))], dtype=object)
 
     return run(tokens(text))
 
