@@ -8,6 +8,7 @@ takes a list of inputs and returns a list of vectors.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import time
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sextant.arrow import cut
 from sextant.functions.vectors import try_cast
 from sextant.sources.tables import embeddable
 
@@ -104,9 +106,12 @@ class HttpRuntime:
     def models(self, job_type: str = EMBEDDING) -> list[tuple[str, int]]:
         return [(k, v) for k, v in self.known.items() if bool(v) == (job_type == EMBEDDING)]
 
+    def _headers(self) -> dict[str, str]:
+        return {"Authorization": f"Bearer {self.token}"}
+
     def _post(self, path: str, body: dict) -> dict:
         def once() -> dict:
-            request = urllib.request.Request(self.base_url + path, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.token}"})
+            request = urllib.request.Request(self.base_url + path, json.dumps(body).encode(), {"Content-Type": "application/json", **self._headers()})
             with urllib.request.urlopen(request, timeout=120) as r:
                 return json.load(r)
 
@@ -121,6 +126,73 @@ class HttpRuntime:
         return [self._post("/chat/completions", {"model": model, "messages": [*head, {"role": "user", "content": p}]})["choices"][0]["message"]["content"] for p in prompts]
 
 
+class OpenAiRuntime(HttpRuntime):
+    """The OpenAI form of a service, or Azure's (by its address): inputs are cut to the model's tokens and sent in groups.
+
+    Tokens are counted by ``count`` of a text; without one, three bytes are taken for a token, so that no input is
+    too long.
+    """
+
+    MODELS = {"openai/text-embedding-ada-002": 1536, "openai/text-embedding-3-small": 1536, "openai/text-embedding-3-large": 3072, "openai/gpt-4o": 0, "openai/gpt-4o-mini": 0}
+    MOST_TOKENS, GROUP_TOKENS, GROUP_INPUTS = 8191, 300_000, 2048
+    EMBED_PATH, CHAT_PATH = "/embeddings", "/chat/completions"
+
+    def __init__(self, token: str, base_url: str = "https://api.openai.com/v1", count: Callable[[str], int] | None = None, **options):
+        super().__init__(base_url, token, dict(self.MODELS), **options)
+        self.count, self.usage = count or (lambda x: -(-len(x.encode()) // 3)), 0
+        self.azure = ".openai.azure.com" in base_url
+
+    def _headers(self) -> dict[str, str]:
+        return {"api-key": self.token} if self.azure else super()._headers()
+
+    def fitting(self, text: str) -> str:
+        """The longest start of the text that has no more tokens than the model takes."""
+        if self.count(text) <= self.MOST_TOKENS:
+            return text
+        low, high = 0, len(text)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self.count(text[:middle]) <= self.MOST_TOKENS else (low, middle - 1)
+        return text[:low]
+
+    def _group(self, model: str, inputs: list[str]) -> list[list[float]]:
+        extra = {"dimensions": self.dimensions} if self.dimensions and "3-" in model else {}
+        said = self._post(self.EMBED_PATH, {"model": model.split("/", 1)[-1], "input": inputs, **extra})
+        self.usage += said.get("usage", {}).get("total_tokens", 0)
+        return [x["embedding"] for x in sorted(said["data"], key=lambda x: x.get("index", 0))]
+
+    def embed(self, model: str, inputs: Sequence[str]) -> list[list[float]]:
+        texts = [self.fitting(x) for x in inputs]
+        out: list[list[float]] = []
+        for a, b in greedy_groups([self.count(x) for x in texts], self.GROUP_TOKENS):
+            for i in range(a, b, self.GROUP_INPUTS):
+                out += self._group(model, texts[i : min(b, i + self.GROUP_INPUTS)])
+        return out
+
+    def complete(self, model: str, prompts: Sequence[str], system: str = "") -> list[str]:
+        return super().complete(model.split("/", 1)[-1], prompts, system)
+
+
+class CohereRuntime(OpenAiRuntime):
+    """The Cohere form: ``/embed`` with an input type, 96 inputs at a time, and ``/chat``."""
+
+    MODELS = {"cohere/embed-english-v3.0": 1024, "cohere/embed-multilingual-v3.0": 1024, "cohere/embed-english-light-v3.0": 384, "cohere/command-r": 0}
+    MOST_TOKENS, GROUP_INPUTS = 512, 96
+
+    def __init__(self, token: str, base_url: str = "https://api.cohere.com/v1", input_type: str = "search_document", **options):
+        if input_type not in ("search_document", "search_query", "classification", "clustering"):
+            raise ValueError(f"unknown input type: {input_type}")
+        super().__init__(token, base_url, input_type=input_type, **options)
+
+    def _group(self, model: str, inputs: list[str]) -> list[list[float]]:
+        said = self._post("/embed", {"model": model.split("/", 1)[-1], "texts": inputs, "input_type": self.input_type, "truncate": "END"})
+        self.usage += said.get("meta", {}).get("billed_units", {}).get("input_tokens", 0)
+        return said["embeddings"]
+
+    def complete(self, model: str, prompts: Sequence[str], system: str = "") -> list[str]:
+        return [self._post("/chat", {"model": model.split("/", 1)[-1], "message": p, **({"preamble": system} if system else {})})["text"] for p in prompts]
+
+
 def retried(call: Callable, tries: int = 5, wait: float = 4.0):
     """The call's result; waits ``wait`` seconds longer after each failure, and raises the last."""
     for i in range(tries):
@@ -132,8 +204,9 @@ def retried(call: Callable, tries: int = 5, wait: float = 4.0):
             time.sleep(wait * (i + 1))
 
 
-_runtimes: dict[str, Callable[[], Runtime]] = {"hash": HashRuntime}
-_BATCH = {"hash": 1000, "onnx": 32, "http": 500}
+#: Those but ``hash`` need ``params``: what their class is made with.
+_runtimes: dict[str, Callable[..., Runtime]] = {"hash": HashRuntime, "onnx": OnnxRuntime, "http": HttpRuntime, "openai": OpenAiRuntime, "cohere": CohereRuntime}
+_BATCH = {"hash": 1000, "onnx": 32, "http": 500, "openai": 500, "cohere": 5000}
 
 
 def register_runtime(name: str, make: Callable[[], Runtime], batch: int = 100) -> None:
@@ -144,14 +217,18 @@ def available_runtimes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in sorted(_runtimes)], "runtime string")
 
 
-def available_models(spark: SparkSession, runtime: str = "hash", job_type: str = EMBEDDING) -> DataFrame:
-    return spark.createDataFrame(_made(runtime).models(job_type), "model string, dimensions int")
+def available_models(spark: SparkSession, runtime: str = "hash", job_type: str = EMBEDDING, params: dict | None = None) -> DataFrame:
+    return spark.createDataFrame(_made(runtime, params).models(job_type), "model string, dimensions int")
 
 
-def _made(runtime: str) -> Runtime:
+def _maker(runtime: str, params: dict | None) -> Callable[[], Runtime]:
     if runtime not in _runtimes:
         raise ValueError(f"unknown runtime: {runtime}")
-    return _runtimes[runtime]()
+    return functools.partial(_runtimes[runtime], **(params or {}))
+
+
+def _made(runtime: str, params: dict | None = None) -> Runtime:
+    return _maker(runtime, params)()
 
 
 def greedy_groups(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
@@ -166,11 +243,9 @@ def greedy_groups(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def llm_embedding(text: Column, model: str = "hash/64", runtime: str = "hash", batch: int | None = None) -> Column:
+def llm_embedding(text: Column, model: str = "hash/64", runtime: str = "hash", batch: int | None = None, params: dict | None = None) -> Column:
     """The vector of each text; null of null or blank, all -1 where the runtime can't read the input."""
-    make, size = _runtimes.get(runtime), batch or _BATCH.get(runtime, 100)
-    if make is None:
-        raise ValueError(f"unknown runtime: {runtime}")
+    make, size = _maker(runtime, params), batch or _BATCH.get(runtime, 100)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -187,14 +262,18 @@ def llm_embedding(text: Column, model: str = "hash/64", runtime: str = "hash", b
     return run(text)
 
 
-text_embedding = llm_embedding
+def text_embedding(text: Column, model: str, files: dict[str, tuple[str, str, str, int, int]], batch: int | None = None) -> Column:
+    """Vectors by a local model file: ``files`` as OnnxRuntime takes them."""
+    return llm_embedding(text, model, "onnx", batch, {"files": files})
+
 
+def openai_embedding(text: Column, model: str = "openai/text-embedding-3-small", token: str = "", base_url: str = "https://api.openai.com/v1", dimensions: int | None = None) -> Column:
+    return llm_embedding(text, model, "openai", None, {"token": token, "base_url": base_url, "dimensions": dimensions})
 
-def llm_completion(prompt: Column, model: str = "hash/echo", system: str = "", runtime: str = "hash") -> Column:
+
+def llm_completion(prompt: Column, model: str = "hash/echo", system: str = "", runtime: str = "hash", params: dict | None = None) -> Column:
     """The answer to each prompt; a failure is its text after "Error: "; null of null."""
-    make = _runtimes.get(runtime)
-    if make is None:
-        raise ValueError(f"unknown runtime: {runtime}")
+    make = _maker(runtime, params)
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -222,8 +301,11 @@ def create_embeddings(df: DataFrame, source: str, target: str, model: str = "has
 
 
 def typed_completions(df: DataFrame, source: str, target: str, kind: str = "string", id: str = "id", **options) -> tuple[DataFrame, DataFrame]:
-    """Rows with the completion as ``kind`` in ``target``, and the failures (``row_id, value``): errors and values that don't cast."""
-    done = embeddable(df, source).withColumn("_value", llm_completion(F.col(source), **options))
+    """Rows with the completion as ``kind`` in ``target``, and the failures (``row_id, value``): errors and values that don't cast.
+
+    The model is asked once for each row: its answers are written out before they are split.
+    """
+    done = cut(embeddable(df, source).withColumn("_value", llm_completion(F.col(source), **options)))
     cast = F.when(~F.col("_value").startswith("Error: "), try_cast(F.col("_value"), kind) if kind != "string" else F.col("_value"))
     done = done.withColumn(target, cast)
     return done.where(F.col(target).isNotNull()).drop("_value"), done.where(F.col(target).isNull()).select(F.col(id).alias("row_id"), F.col("_value").alias("value"))
