@@ -1,8 +1,10 @@
 """Embedding and completion jobs: a backfill, then micro-batches of a stream, into a target table.
 
-A job reads rows as they arrive, drops those that it has done, embeds or completes the others and appends
-them. Structured Streaming's checkpoint replays what was missed; as a batch may run twice, its rows are
-written under its number, and a second write replaces the first.
+A job reads rows as they arrive, drops those that it has done with the same source, embeds or completes the
+others, changed ones too, and appends them; of a row's results the last counts. Structured Streaming's
+checkpoint replays what was missed; as a batch may run twice, its rows are written under its number, and a
+second write replaces the first. Results lie in ``BUCKETS`` folders by the hash of their key, and a batch reads
+those only that its own keys fall into.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from sextant.operators import embed
 from sextant.sources.tables import embeddable
 
 INTERVAL = "10 seconds"
+BUCKETS = 64
 KINDS = (embed.EMBEDDING, embed.COMPLETION)
 
 
@@ -74,15 +77,21 @@ class Jobs:
         return self._add(embed.COMPLETION, source, key, column, target_column, label, {"model": model, "runtime": runtime, "system": system, "kind": kind})
 
     def _batch(self, job: Job, df: DataFrame, number: int) -> None:
-        rows = embeddable(df, job.column).dropDuplicates([job.key])
+        text = F.col(job.column).cast("string")
+        rows = embeddable(df, job.column).withColumn("src", F.xxhash64(text)).withColumn("bucket", F.pmod(F.xxhash64(F.col(job.key).cast("string")), F.lit(BUCKETS)).cast("int"))
+        rows = rows.dropDuplicates([job.key])
         if exists(self.spark, job.results):
-            rows = rows.join(self.spark.read.parquet(job.results).where(F.col("batch") != number).select(job.key), job.key, "left_anti")
+            mine = [r.bucket for r in rows.select("bucket").distinct().collect()]
+            before = self.spark.read.parquet(job.results).where(F.col("bucket").isin(mine) & (F.col("batch") != number))
+            latest = before.groupBy(job.key).agg(F.max_by("src", "batch").alias("_src"))
+            rows = rows.join(latest, job.key, "left").where("_src is null or _src <> src").drop("_src")
         o = dict(job.options)
         if job.kind == embed.EMBEDDING:
             done, failed = rows.withColumn(job.target_column, embed.llm_embedding(F.col(job.column), **o)), None
         else:
             done, failed = embed.typed_completions(rows, job.column, job.target_column, o.pop("kind"), job.key, **o)
-        done.select(job.key, job.target_column).write.mode("overwrite").parquet(f"{job.results}/batch={number}")
+        words = F.coalesce(F.size(F.split(F.trim(text), r"\s+")), F.lit(0)).alias("tokens")
+        done.select(job.key, job.target_column, "src", words, "bucket", F.lit(number).cast("long").alias("batch")).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch", "bucket").parquet(job.results)
         if failed is not None:
             failed.write.mode("overwrite").parquet(f"{job.failures}/batch={number}")
 
@@ -125,7 +134,11 @@ class Jobs:
         return self.start(id, once)
 
     def results(self, id: int) -> DataFrame:
-        return self.spark.read.parquet(self.jobs[id].results)
+        """``key, target`` of every row, by its last source."""
+        job = self.jobs[id]
+        if not exists(self.spark, job.results):
+            return self.spark.createDataFrame([], job.source.select(job.key).schema).withColumn(job.target_column, F.lit(None).cast("string"))
+        return self.spark.read.parquet(job.results).groupBy(job.key).agg(F.max_by(job.target_column, "batch").alias(job.target_column))
 
     def failures(self, id: int) -> DataFrame:
         job = self.jobs[id]
@@ -143,12 +156,13 @@ class Jobs:
         return self.list().where(F.col("id") == id).first().status
 
     def usage(self) -> DataFrame:
-        """``job_id, rows, failed`` of every job that has run."""
+        """``job_id, rows, failed, tokens`` of every job that has run: results that were made, rows that failed, words that were sent."""
         out = []
         for j in self.jobs.values():
             if j.finished is not None:
-                out.append((j.id, self.results(j.id).count(), self.failures(j.id).count()))
-        return self.spark.createDataFrame(out, "job_id int, rows long, failed long")
+                made = self.spark.read.parquet(j.results).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).first() if exists(self.spark, j.results) else None
+                out.append((j.id, made.n if made else 0, self.failures(j.id).count(), (made.t or 0) if made else 0))
+        return self.spark.createDataFrame(out, "job_id int, rows long, failed long, tokens long")
 
 
 def dedup_stream(df: DataFrame, keys: list[str], time: str | None = None, delay: str = "10 minutes") -> DataFrame:
