@@ -37,8 +37,8 @@ def rows_from_json(spark: SparkSession, rows: Sequence[dict], schema: str | None
 
 
 def update_from(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``target`` with ``columns`` of the matching row of ``changes`` where that isn't null; the last of several by their values."""
-    new = changes.groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in columns]) if columns else changes.select(key).distinct()
+    """``target`` with ``columns`` of the matching row of ``changes`` where that isn't null. Of several changes of a key one whole row counts: the greatest by these columns, in their order."""
+    new = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("_new")).select(key, *[F.col(f"_new.{c}").alias(f"_{c}") for c in columns]) if columns else changes.select(key).distinct()
     joined = target.join(new, key, "left")
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 
@@ -58,3 +58,21 @@ def embeddable(df: DataFrame, source: str) -> DataFrame:
 def pending(df: DataFrame, source: str, target: str) -> DataFrame:
     """Of those, the rows that have no result yet."""
     return embeddable(df, source).where(F.col(target).isNull())
+
+
+def read_ranges(spark: SparkSession, read, low: int, high: int, parts: int) -> DataFrame:
+    """A keyed source in ``parts`` ranges of its key: ``read(a, b)`` gives the rows from a up to, not including, b; the last has ``high``."""
+    if parts < 1 or high < low:
+        raise ValueError("parts must be positive and high not below low")
+    edges = sorted({low + (high + 1 - low) * i // parts for i in range(parts + 1)})
+    out = None
+    for a, b in zip(edges, edges[1:]):
+        part = read(a, b)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 8, fetch: int = 2000, **options) -> DataFrame:
+    """A database's table, each task reading a range of ``key``, ``fetch`` rows at a time."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, fetchsize=fetch, **options)
+    return reader.load()
