@@ -40,9 +40,13 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors share; one of our own only where none is set."""
+    """``spark.checkpoint.dir``, which all executors share; one of our own only in local mode, ValueError elsewhere."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="sextant-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sextant-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
