@@ -57,122 +57,118 @@ def _rounded(df: DataFrame, *more: str) -> DataFrame:
     return df.select("vec_id", *more, (F.round("dist", 4) + 0.0).alias("dist"))
 
 
-_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {})"
 _L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _COS = "greatest(0.0, 1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
-_V = "e.embedding::DOUBLE[]"
+_V, _A = "e.embedding::DOUBLE[]", "q.embedding::DOUBLE[]"
+_INT = "list_transform({}, lambda x: floor(x * 1000)::INT)"
+_HAM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(xor(z[1], z[2]))))"
+#: A search's queries are the rows whose id is divisible by 100; it is against all rows.
+EVERY = 100
+
+
+def _asked(df: DataFrame) -> DataFrame:
+    return df.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
+
+
+def _found(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("query_id", "vec_id", (F.round("dist", 4) + 0.0).alias("dist"), *more)
 
 
 def _near(dist: str, where: str = "true", k: int = 10) -> str:
-    return f"SELECT vec_id, round(d, 4) + 0.0 AS dist FROM (SELECT e.vec_id, {dist} AS d FROM embeddings e, {_Q.format(0)} t WHERE {where}) ORDER BY d, vec_id LIMIT {k}"
+    return f"""SELECT query_id, vec_id, round(d, 4) + 0.0 AS dist, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM (
+        SELECT q.vec_id AS query_id, e.vec_id, {dist} AS d FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND {where})) WHERE rank <= {k}"""
 
 
-@query(_near(_L2.format(a=_V, b="t.q")))
-def knn_l2sq(spark, table):
-    return _rounded(knn.knn(table("embeddings"), _vector(table("embeddings")), 10))
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: ten nearest neighbours of vector 0."""
+    df = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+    return _rounded(knn.knn(df, _vector(df), 10))
 
 
-@query(_near(_COS.format(a=_V, b="t.q")))
-def knn_cos(spark, table):
-    return _rounded(knn.knn(table("embeddings"), _vector(table("embeddings")), 10, "cos"))
+@query(_near(_L2.format(a=_V, b=_A)))
+def knn_l2sq(spark, table):
+    df = table("embeddings")
+    return _found(knn.knn_join(_asked(df), df, 10), "rank")
 
 
-_INT = "list_transform({}, lambda x: floor(x * 1000)::INT)"
-_HAM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(xor(z[1], z[2]))))"
+@query(_near(_COS.format(a=_V, b=_A)))
+def knn_cos(spark, table):
+    df = table("embeddings")
+    return _found(knn.knn_join(_asked(df), df, 10, "cos"), "rank")
 
 
-@query(f"SELECT vec_id, d::DOUBLE AS dist FROM (SELECT e.vec_id, {_HAM.format(a=_INT.format(_V), b=_INT.format('t.q'))} AS d FROM embeddings e, {_Q.format(0)} t) ORDER BY d, vec_id LIMIT 10")
+@query(_near(_HAM.format(a=_INT.format(_V), b=_INT.format(_A))))
 def knn_hamming(spark, table):
-    whole = table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("embedding"))
-    return knn.knn(whole, _vector(whole), 10, "hamming").select("vec_id", "dist")
+    df = table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("embedding"))
+    return _found(knn.knn_join(_asked(df), df, 10, "hamming"), "rank")
 
 
 @query(f"""
-    SELECT e.vec_id, round({_L2.format(a=_V, b="t.q")}, 4) + 0.0 AS l2sq, round({_COS.format(a=_V, b="t.q")}, 4) + 0.0 AS cos,
-           {_HAM.format(a=_INT.format(_V), b=_INT.format("t.q"))}::INT AS hamming
-    FROM embeddings e, {_Q.format(0)} t""")
+    SELECT e.vec_id, q.vec_id AS query_id, round({_L2.format(a=_V, b=_A)}, 4) + 0.0 AS l2sq, round({_COS.format(a=_V, b=_A)}, 4) + 0.0 AS cos,
+           {_HAM.format(a=_INT.format(_V), b=_INT.format(_A))}::INT AS hamming
+    FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id // {EVERY} * {EVERY}""")
 def distances(spark, table):
+    """Of each vector from the one that its hundred starts with, by the three functions."""
     df = table("embeddings")
-    q = F.broadcast(df.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    q = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     ints = lambda c: F.transform(c, lambda x: F.floor(x.cast("double") * 1000).cast("int"))
     v = F.col("embedding")
-    return df.crossJoin(q).select("vec_id", (F.round(l2sq_dist(v, F.col("q")), 4) + 0.0).alias("l2sq"), (F.round(cos_dist(v, F.col("q")), 4) + 0.0).alias("cos"), hamming_dist(ints(v), ints(F.col("q"))).alias("hamming"))
+    joined = df.join(q, F.expr(f"vec_id div {EVERY} * {EVERY}") == F.col("query_id"))
+    return joined.select("vec_id", "query_id", (F.round(l2sq_dist(v, F.col("q")), 4) + 0.0).alias("l2sq"), (F.round(cos_dist(v, F.col("q")), 4) + 0.0).alias("cos"), hamming_dist(ints(v), ints(F.col("q"))).alias("hamming"))
 
 
-@query(_near(_L2.format(a=_V, b="t.q"), "e.label IN (1, 3)"))
+@query(_near(_L2.format(a=_V, b=_A), "e.label IN (1, 3)"))
 def knn_filtered(spark, table):
-    return _rounded(knn.knn(table("embeddings"), _vector(table("embeddings")), 10, where="label in (1, 3)"))
+    df = table("embeddings")
+    return _found(knn.knn_join(_asked(df), df.where("label in (1, 3)"), 10), "rank")
 
 
-@query(_near(_L2.format(a=_V, b="t.q"), "e.label = 3"))
+@query(_near(_L2.format(a=_V, b=_A), "e.label = 3"))
 def knn_partial(spark, table):
     """The index of the rows of one label; all its cells are searched."""
     df = table("embeddings")
     index = ann.build(df, f"{shared_dir(spark)}/partial-{uuid.uuid4().hex}", where="label = 3")
-    return _rounded(ann.search(index, _vector(df), 10, ef=400))
+    index.probes = len(index.centres)
+    return _found(ann.search_join(index, _asked(df), 10), "rank")
 
 
-@query(f"""
-    SELECT query_id, vec_id, round(d, 4) + 0.0 AS dist, rank FROM (
-      SELECT q.vec_id AS query_id, e.vec_id, {_L2.format(a=_V, b="q.embedding::DOUBLE[]")} AS d,
-             row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2.format(a=_V, b="q.embedding::DOUBLE[]")}, e.vec_id)::INT AS rank
-      FROM embeddings e, embeddings q) WHERE rank <= 5""")
+@query(_near(_L2.format(a=_V, b=_A), "true", 5).replace(f"q.vec_id % {EVERY} = 0", "true"))
 def knn_batch(spark, table):
+    """Every row as a query."""
     df = table("embeddings")
-    found = knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df, 5)
-    return found.select("query_id", "vec_id", (F.round("dist", 4) + 0.0).alias("dist"), "rank")
+    return _found(knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df, 5), "rank")
 
 
-@query(f"SELECT vec_id, round(d, 4) + 0.0 AS dist FROM (SELECT e.vec_id, {_L2.format(a=_V, b='t.q')} AS d FROM embeddings e, {_Q.format(0)} t) WHERE d < 1.7")
+@query(f"SELECT query_id, vec_id, round(d, 4) + 0.0 AS dist FROM (SELECT q.vec_id AS query_id, e.vec_id, {_L2.format(a=_V, b=_A)} AS d FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0) WHERE d < 1.7")
 def range_search(spark, table):
-    return _rounded(knn.range_search(table("embeddings"), _vector(table("embeddings")), 1.7))
-
-
-def _all(found: DataFrame, *more: str) -> DataFrame:
-    return found.select("query_id", "vec_id", (F.round("dist", 4) + 0.0).alias("dist"), *more)
-
-
-@query()
-def knn_cos_all(spark, table):
-    """Every row as a query, as in the queries below; SQL would compare all pairs."""
     df = table("embeddings")
-    return _all(knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df, 10, "cos"), "rank")
+    return _found(knn.range_join(_asked(df), df, 1.7))
 
 
-@query()
-def knn_hamming_all(spark, table):
-    whole = table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("embedding"))
-    return _all(knn.knn_join(whole.withColumnRenamed("vec_id", "query_id"), whole, 10, "hamming"), "rank")
+def _pairs(df: DataFrame) -> DataFrame:
+    """Queries of two vectors: that of the id and the next one's."""
+    own, after = _asked(df).select("query_id", F.col("embedding").alias("a")), df.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("b"))
+    return own.join(after, "query_id").select("query_id", F.array("a", "b").alias("vectors"))
 
 
-@query()
-def knn_filtered_all(spark, table):
-    df = table("embeddings")
-    return _all(knn.knn_join(df.withColumnRenamed("vec_id", "query_id"), df.where("label in (1, 3)"), 10), "rank")
+_W = f"(0.7 * {_COS.format(a=_V, b='q.embedding::DOUBLE[]')} + 0.3 * {_COS.format(a=_V, b='b.embedding::DOUBLE[]')})"
+_WFROM = f"FROM embeddings e, embeddings q JOIN embeddings b ON b.vec_id = q.vec_id + 1 WHERE q.vec_id % {EVERY} = 0"
 
 
-@query()
-def range_search_all(spark, table):
-    df = table("embeddings")
-    return _all(knn.range_join(df.withColumnRenamed("vec_id", "query_id"), df, 1.7))
-
-
-_W = f"(0.7 * {_COS.format(a=_V, b='a.q')} + 0.3 * {_COS.format(a=_V, b='b.q')})"
-
-
-@query(f"SELECT e.vec_id, round({_W}, 4) + 0.0 AS dist FROM embeddings e, {_Q.format(0)} a, {_Q.format(1)} b")
+@query(f"SELECT query_id, vec_id, round(d, 4) + 0.0 AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_W} AS d {_WFROM})) WHERE rank <= 50")
 def weighted_exact(spark, table):
     df = table("embeddings")
-    return _rounded(knn.weighted_search_cos(df, [(0.7, "embedding", _vector(df, 0)), (0.3, "embedding", _vector(df, 1))], exact=True))
+    return _found(knn.weighted_join(_pairs(df), df, [0.7, 0.3], 50), "rank")
 
 
 @query(f"""
-    WITH s AS (SELECT e.vec_id, {_W} AS d, {_COS.format(a=_V, b='a.q')} AS da, {_COS.format(a=_V, b='b.q')} AS db FROM embeddings e, {_Q.format(0)} a, {_Q.format(1)} b)
-    SELECT vec_id, round(d, 4) + 0.0 AS dist FROM s WHERE d < 0.95 AND vec_id IN (
-      SELECT vec_id FROM (SELECT vec_id FROM s ORDER BY da, vec_id LIMIT 30) UNION SELECT vec_id FROM (SELECT vec_id FROM s ORDER BY db, vec_id LIMIT 30))""")
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_W} AS d, {_COS.format(a=_V, b=_A)} AS da, {_COS.format(a=_V, b='b.embedding::DOUBLE[]')} AS db {_WFROM}),
+    c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY da, vec_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY db, vec_id) AS rb FROM s)
+    SELECT query_id, vec_id, round(d, 4) + 0.0 AS dist, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM c WHERE d < 0.95 AND (ra <= 30 OR rb <= 30)""")
 def weighted_approx(spark, table):
     df = table("embeddings")
-    return _rounded(knn.weighted_search_cos(df, [(0.7, "embedding", _vector(df, 0)), (0.3, "embedding", _vector(df, 1))], ef=30, max_dist=0.95))
+    return _found(knn.weighted_join(_pairs(df), df, [0.7, 0.3], 60, ef=30, max_dist=0.95), "rank")
 
 
 @query("SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: greatest(-100, least(100, floor(x * 100 + 0.5)::INT))), ',') AS code FROM embeddings")
@@ -272,19 +268,22 @@ def bm25_search(spark, table):
     return bm25.search(bm25.build(_tokens(table)), [*TERMS, "the"], 10).select("doc_id", F.round("bm25", 4).alias("bm25"))
 
 
-@query(f"{_SCORES} SELECT doc_id, round(coalesce(score, 0), 4) AS bm25 FROM documents LEFT JOIN r USING (doc_id)")
+@query(f"""{_SCORES.replace("fq * 2.2 / (fq + 1.2 * (0.25 + 0.75 * doc_len / avgdl))", "least(fq, CASE WHEN df > 300 THEN 1 ELSE fq END) * 2.2 / (least(fq, CASE WHEN df > 300 THEN 1 ELSE fq END) + 1.2 * (0.25 + 0.75 * CASE WHEN df > 300 THEN avgdl ELSE doc_len END / avgdl))")}
+    SELECT doc_id, round(coalesce(score, 0), 4) AS bm25 FROM documents LEFT JOIN r USING (doc_id)""")
 def bm25_score(spark, table):
+    """Terms of more than 300 documents count as if they occurred once in a document of mean length."""
     tokens = _tokens(table)
-    return bm25.score(bm25.build(tokens), tokens, TERMS, threshold=100_000).select("doc_id", F.round("bm25", 4).alias("bm25"))
+    return bm25.score(bm25.build(tokens), tokens, TERMS, threshold=300).select("doc_id", F.round("bm25", 4).alias("bm25"))
 
 
-@query(f"{_LONG.replace('GROUP BY ALL', 'GROUP BY term, doc_id')} SELECT term, count(*)::INT AS df, sum(fq)::BIGINT AS n FROM p GROUP BY term")
+@query(f"{_LONG.replace('GROUP BY ALL', 'GROUP BY term, doc_id')} SELECT term, count(*)::INT AS df, md5(string_agg(doc_id || ':' || fq || ':' || doc_len, ',' ORDER BY doc_id)) AS lists FROM p GROUP BY term")
 def bm25_consolidate(spark, table):
-    """Two indexes of halves of the documents, made one."""
+    """Two indexes, of the even and of the odd documents, made one; the merged lists by their digest."""
     tokens = _tokens(table)
     halves = [bm25.packed(bm25.build(tokens.where(F.col("doc_id") % 2 == k))) for k in (0, 1)]
     out = bm25.consolidate(halves[0].unionByName(halves[1]))
-    return out.select("term", F.col("term_freq").alias("df"), F.aggregate("fqs", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
+    each = F.transform(F.arrays_zip("doc_ids", "fqs", "doc_lens"), lambda x: F.concat_ws(":", x["doc_ids"], x["fqs"], x["doc_lens"]))
+    return out.select("term", F.col("term_freq").alias("df"), F.md5(F.array_join(each, ",")).alias("lists"))
 
 
 @query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
@@ -297,10 +296,16 @@ def stem_tokens(spark, table):
     return table("documents").select("doc_id", text.stem_array(F.col("text")).alias("stems"), text.stem_array(F.col("text"), "tsvector").alias("lexemes"))
 
 
-@query(f"SELECT doc_id, true AS has_first, len({_TOKENS}) > 0 AS has_words FROM documents WHERE len({_TOKENS}) > 0")
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
+    SELECT doc_id, len(list_distinct(t)) AS n, len(list_distinct(t)) AS hits, true AS few_false FROM d WHERE len(t) > 0""")
 def bloom_membership(spark, table):
-    words = table("documents").select("doc_id", text.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return words.select("doc_id", bloom.elem_in_bloom(F.element_at("t", 1), bloom.array_to_bloom(F.col("t"))).alias("has_first"), (F.size("t") > 0).alias("has_words"))
+    """All words of each document asked of its filter, and as many words that it doesn't have, of which few may seem to be there."""
+    docs = table("documents").select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    made = docs.select("doc_id", "t", bloom.array_to_bloom(F.col("t")).alias("b"))
+    asked = made.select("doc_id", "b", F.explode("t").alias("w"))
+    found = asked.select("doc_id", bloom.elem_in_bloom(F.col("w"), F.col("b")).cast("int").alias("hit"), bloom.elem_in_bloom(F.concat("w", F.lit("#")), F.col("b")).cast("int").alias("false"))
+    by = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.sum("false").alias("false"))
+    return by.select("doc_id", "n", "hits", (F.col("false") <= 3 + 0.04 * F.col("n")).alias("few_false"))
 
 
 @query("""SELECT doc_id, n_chars FROM documents d WHERE text IS NOT NULL AND trim(text) <> '' AND text <> 'Error: Summary failed (llm)'
@@ -310,10 +315,15 @@ def embed_pending(spark, table):
     return tables.pending(joined, "text", "quality").select("doc_id", "n_chars")
 
 
-@query("SELECT doc_id, true AS embedded, 64 AS dim FROM documents WHERE trim(text) <> ''")
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE trim(text) <> '')
+    SELECT doc_id, true AS unit, 64 AS dim, md5(array_to_string(t, ' ')) AS words, true AS same FROM d""")
 def embed_documents(spark, table):
-    out = embed.create_embeddings(tables.embeddable(table("documents"), "text"), "text", "v")
-    return out.select("doc_id", F.col("v").isNotNull().alias("embedded"), F.size("v").alias("dim"))
+    """Vectors of documents: unit ones where there is a word, and the same for a text in capitals."""
+    docs = tables.embeddable(table("documents"), "text").where("trim(text) <> ''")
+    out = embed.create_embeddings(docs, "text", "v").withColumn("w", embed.llm_embedding(F.lower("text")))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    words = text.tokens(F.col("text"))
+    return out.select("doc_id", ((F.abs(norm - 1) < 1e-4) | (F.size(words) == 0) | (norm == 0)).alias("unit"), F.size("v").alias("dim"), F.md5(F.array_join(words, " ")).alias("words"), (F.col("v") == F.col("w")).alias("same"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'failed' WHEN user_id % 7 = 0 THEN 'canceled' WHEN value > 50 THEN 'enabled' WHEN value > 10 THEN 'in_progress' ELSE 'queued' END AS status FROM events""")
@@ -323,33 +333,50 @@ def job_status(spark, table):
     return table("events").select("event_id", state.alias("status"))
 
 
-@query("SELECT event_id, TRY_CAST(props AS INT) AS n, TRY_CAST(props AS INT) IS NULL AS failed FROM events")
+@query("""SELECT o_orderkey, coalesce(TRY_CAST(t AS INT), 0) AS n, TRY_CAST(t AS INT) IS NULL AS failed FROM (
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN o_orderstatus ELSE '-' || o_orderkey::VARCHAR END AS t FROM orders)""")
 def failed_casts(spark, table):
-    n = vectors.try_cast(F.col("props"), "int")
-    return table("events").select("event_id", n.alias("n"), n.isNull().alias("failed"))
+    """Answers as whole numbers: two of three can be read."""
+    key = F.col("o_orderkey").cast("string")
+    answer = F.when(F.col("o_orderkey") % 3 == 0, key).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus")).otherwise(F.concat(F.lit("-"), key))
+    n = vectors.try_cast(answer, "int")
+    return table("orders").select("o_orderkey", F.coalesce(n, F.lit(0)).alias("n"), n.isNull().alias("failed"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedup_microbatch(spark, table):
-    return table("events").select("user_id", "event_type").dropDuplicates()
+    """The events as a stream, the first of each key."""
+    folder = f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
+    table("events").select("user_id", "event_type").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("user_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    running = jobs.dedup_stream(stream, ["user_id", "event_type"]).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
-@query("SELECT user_id, count(*) AS n_rows, round(sum(value), 2) AS total FROM events GROUP BY user_id")
+@query("SELECT 1 AS job_id, count(*) AS rows, 0::BIGINT AS failed, count(*) AS tokens FROM events WHERE trim(event_type) <> ''")
 def usage(spark, table):
-    return table("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 2).alias("total"))
+    """Of an embedding job over all events: each is of one word."""
+    own = jobs.Jobs(spark, f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}")
+    done = own.start(own.add_embedding_job(table("events").select("event_id", "event_type"), "event_id", "event_type", "v"))
+    if done.failure:
+        raise RuntimeError(done.failure)
+    return own.usage().select("job_id", "rows", "failed", "tokens")
 
 
-@query("SELECT vec_id, CASE WHEN l.doc_id IS NULL THEN e.label ELSE l.quality END AS label FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id")
+@query("""WITH c AS (SELECT doc_id AS k, max(row(quality, toxic)) AS m FROM (SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 1 - quality, 7 FROM labels) GROUP BY doc_id)
+    SELECT vec_id, coalesce(m[1], label) AS label, coalesce(m[2], 0) AS toxic FROM embeddings LEFT JOIN c ON k = vec_id""")
 def update_from(spark, table):
-    changes = table("labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("label"))
-    return tables.update_from(table("embeddings").select("vec_id", "label"), changes, "vec_id", ["label"])
+    """Two changes of each key, of which one whole row counts."""
+    labels = table("labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("label"), "toxic")
+    changes = labels.unionByName(labels.select("vec_id", (1 - F.col("label")).alias("label"), F.lit(7).alias("toxic")))
+    return tables.update_from(table("embeddings").select("vec_id", "label", F.lit(0).alias("toxic")), changes, "vec_id", ["label", "toxic"])
 
 
-@query("SELECT 2 AS experiment_id, 97.5 AS recall")
+@query()
 def autotune_best(spark, table):
-    rows = [(0, 64, 32, 8, 91.0, 0.01, 1.0), (1, 128, 64, 16, 96.0, 0.02, 4.0), (2, 128, 128, 16, 97.5, 0.02, 2.0)]
-    best = tune.best(spark.createDataFrame(rows, tune.RESULTS), 95.0)
-    return best.select("experiment_id", F.col("recall").cast("decimal(3,1)").alias("recall"))
+    """The variants tried on the embeddings, and the best of them."""
+    return tune.best(tune.autotune(table("embeddings")), 95.0)
 
 
 @query("SELECT e.vec_id, regexp_replace('ORDER BY v <-> [' || array_to_string(embedding, ',') || '] LIMIT 3', '\\[.*\\]', '[MASKED_VECTOR]') AS plan FROM embeddings e")
@@ -392,8 +419,20 @@ def union_of_sets(spark, table):
 def ivf_knn(spark, table):
     """Of the default index options; approximate."""
     df = table("embeddings")
-    index = ann.build(df, f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}", ann.Options(ef=200))
-    return _rounded(ann.search(index, _vector(df), 10))
+    index = ann.build(df, f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}")
+    return _found(ann.search_join(index, _asked(df), 10), "rank")
+
+
+@query("SELECT true AS enough, count(*) AS queries FROM embeddings")
+def ivf_recall(spark, table):
+    """Every row asked of an index that another has opened: whether recall@10 against brute force is at least 0.9."""
+    df = table("embeddings")
+    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    ann.build(df, path)
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    found = ann.search_join(ann.open_index(spark, path), asked, 10)
+    share = knn.recall(knn.knn_join(asked, df, 10), found, 10, decimals=4)
+    return share.select((F.col("recall") >= 0.9).alias("enough")).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("queries"))))
 
 
 @query()
@@ -413,3 +452,50 @@ def stream_embed(spark, table):
     if done.failure:
         raise RuntimeError(done.failure)
     return own.results(done.id).select("event_id", F.size("v").alias("dim"))
+
+
+@query(f"{_LONG.replace('GROUP BY ALL', 'GROUP BY term, doc_id')}, h AS (SELECT doc_id FROM p WHERE term = 'the' AND fq >= 2) SELECT doc_id, fq FROM p WHERE term = 'that' AND doc_id IN (SELECT doc_id FROM h)")
+def bm25_lookup(spark, table):
+    """Postings of two terms from a stored index that another session could have opened."""
+    path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25.build(_tokens(table), path=path)
+    postings = bm25.open_index(spark, path).postings
+    common = postings.where("term = 'the' and fq >= 2").select("doc_id")
+    return postings.where("term = 'that'").join(common, "doc_id", "left_semi").select("doc_id", "fq")
+
+
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: least(255, abs(floor(x * 100)::INT))), ',') || ']' AS text, 2 + 64 AS n_bytes, true AS same FROM embeddings")
+def code_round_trips(spark, table):
+    """Codes as text and as bytes, and read again."""
+    codes = vectors.to_codes(F.transform("embedding", lambda x: F.least(F.lit(255), F.abs(F.floor(x * 100).cast("int")))))
+    df = table("embeddings").select("vec_id", codes.alias("c"))
+    same = (vectors.text_to_codes(vectors.codes_to_text(F.col("c"))) == F.col("c")) & (vectors.bytes_to_codes(vectors.codes_to_bytes(F.col("c"))) == F.col("c"))
+    return df.select("vec_id", vectors.codes_to_text(F.col("c")).alias("text"), F.octet_length(vectors.codes_to_bytes(F.col("c"))).alias("n_bytes"), same.alias("same"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 3")
+def index_life(spark, table):
+    """What an index holds after half of the rows were inserted later and some were deleted and vacuumed."""
+    df = table("embeddings")
+    path = f"{shared_dir(spark)}/life-{uuid.uuid4().hex}"
+    index = ann.build(df.where("vec_id % 2 = 0"), path)
+    ann.insert(index, df.where("vec_id % 2 = 1"))
+    ann.delete(index, df.where("vec_id % 7 = 3"))
+    return ann.vacuum(ann.open_index(spark, path), f"{path}-new").table().select("vec_id", "label")
+
+
+@query("SELECT vec_id, embedding FROM embeddings")
+def range_read(spark, table):
+    """A keyed table read in ranges of its key."""
+    df = table("embeddings").select("vec_id", "embedding")
+    ends = df.agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b")).first()
+    return tables.read_ranges(spark, lambda a, b: df.where((F.col("vec_id") >= a) & (F.col("vec_id") < b)), ends.a, ends.b, 7)
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: floor(x * 1000)::INT) AS vector FROM embeddings")
+def ivecs_round_trip(spark, table):
+    """Written as .ivecs files with the id in front and read again."""
+    folder = f"{shared_dir(spark)}/ivecs-{uuid.uuid4().hex}"
+    whole = F.concat(F.array(F.col("vec_id").cast("int")), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")))
+    vecs.write(table("embeddings").select(whole.alias("embedding")), folder, "ivecs")
+    return vecs.parse_ivecs(spark, folder.removeprefix("file://")).select(F.col("vector")[0].cast("long").alias("vec_id"), F.slice("vector", 2, 64).alias("vector"))
\ No newline at end of file

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import ann, knn, quantize, tune
+from sextant.operators import ann, bm25, knn, quantize, tune
 from sextant.plans import explain
 
 RNG = np.random.default_rng(5)
@@ -44,12 +44,13 @@ def test_knn_join_in_chunks(table):
     assert knn.recall(one, one.where("rank <= 2"), 4).first().recall == 0.5
 
 
-def test_searches_with_every_row_as_a_query(spark, tmp_path):
+def test_registered_searches_by_brute_force(spark, tmp_path):
+    """Their queries are the ids divisible by 100; a null vector takes no part."""
     from sextant.plans import catalogue
 
     v = np.random.default_rng(8).standard_normal((90, 16)).astype(np.float32)
     v = (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
-    rows = [(i, [float(z) for z in x], i % 5) for i, x in enumerate(v)] + [(500, None, 1)]
+    rows = [(50 * i, [float(z) for z in x], i % 5) for i, x in enumerate(v)] + [(5000, None, 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     w = v.astype(float)
     l2 = ((w[:, None] - w[None]) ** 2).sum(2)
@@ -57,16 +58,54 @@ def test_searches_with_every_row_as_a_query(spark, tmp_path):
     ints = np.floor(w * 1000).astype(np.int64).astype(np.uint32)
     ham = np.array([[sum(int(z).bit_count() for z in a ^ b) for b in ints] for a in ints])
     run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
-    for name, d, ids in (("knn_cos_all", np.maximum(cos, 0), range(90)), ("knn_hamming_all", ham, range(90)), ("knn_filtered_all", l2, [i for i in range(90) if i % 5 in (1, 3)])):
+    asked = range(0, 90, 2)
+    for name, d, ids in (("knn_l2sq", l2, range(90)), ("knn_cos", np.maximum(cos, 0), range(90)), ("knn_hamming", ham, range(90)), ("knn_filtered", l2, [i for i in range(90) if i % 5 in (1, 3)]), ("knn_partial", l2, range(3, 90, 5))):
         got = run(name)
-        assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in range(90) for k in range(1, 11)} and len(got) == 900
-        assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in range(90) for i in sorted(ids, key=lambda i: (round(float(d[q, i]), 12), i))[:10]}
-        assert all(abs(r.dist - d[r.query_id, r.vec_id]) < 1e-4 for r in got)
-    got = run("range_search_all")
-    assert {(r.query_id, r.vec_id) for r in got} == {(int(q), int(i)) for q, i in zip(*np.nonzero(l2 < 1.7))} and len(got) == (l2 < 1.7).sum()
+        assert {(r.query_id // 50, r["rank"]) for r in got} == {(q, k) for q in asked for k in range(1, 11)} and len(got) == 450, name
+        assert {(r.query_id // 50, r.vec_id // 50) for r in got} == {(q, i) for q in asked for i in sorted(ids, key=lambda i: (round(float(d[q, i]), 12), i))[:10]}
+        assert all(abs(r.dist - d[r.query_id // 50, r.vec_id // 50]) < 1e-4 for r in got)
+    got = run("range_search")
+    assert {(r.query_id // 50, r.vec_id // 50) for r in got} == {(int(q), int(i)) for q, i in zip(*np.nonzero(l2 < 1.7)) if q % 2 == 0}
     df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    every = df.withColumnRenamed("vec_id", "query_id")
+    assert knn.range_join(every, df, 1.7, chunk=40, block=30).count() == (l2 < 1.7).sum() and knn.range_join(every.limit(0), df, 1.7).count() == 0
+
+
+def test_joins_in_blocks_agree_and_ties_go_by_id(spark):
+    r = np.random.default_rng(2)
+    x = r.integers(0, 3, (200, 3)).astype(float)  # many copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
     asked = df.withColumnRenamed("vec_id", "query_id")
-    assert knn.range_join(asked, df, 1.7, chunk=40).count() == len(got) and knn.range_join(asked.limit(0), df, 1.7).count() == 0
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {(q, i, k + 1) for q in range(200) for k, i in enumerate(sorted(range(200), key=lambda i: (d[q, i], i))[:7])}
+    for options in ({}, {"chunk": 60, "block": 45}):
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in knn.knn_join(asked, df, 7, **options).collect()} == want
+
+
+def test_vectors_without_a_finite_distance_are_no_candidates(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [nan, 0.0]), (4, [nan, nan]), (5, [inf, 0.0])], "vec_id long, embedding array<double>").coalesce(1)
+    assert [r.vec_id for r in knn.knn(df, [0.0, 0.0], 3).collect()] == [1, 2]
+    asked = spark.createDataFrame([(7, [0.0, 0.0]), (8, [nan, 0.0])], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in knn.knn_join(asked, df, 3).orderBy("rank").collect()] == [(7, 1), (7, 2)]
+    assert knn.knn_join(asked, df.where("vec_id > 2"), 3).count() == 0
+
+
+def test_weighted_join_is_weighted_search(spark, table):
+    qs = [[[float(v) for v in X[i]], [float(v) for v in X[i + 1]]] for i in (3, 9)]
+    asked = spark.createDataFrame(list(enumerate(qs)), "query_id int, vectors array<array<double>>")
+    for ef in (None, 12):
+        got = knn.weighted_join(asked, table, [0.7, 0.3], 20, "l2sq", ef=ef).orderBy("query_id", "rank").collect()
+        for q, (a, b) in enumerate(qs):
+            want = knn.weighted_search_l2sq(table, [(0.7, "embedding", a), (0.3, "embedding", b)], exact=ef is None, ef=ef or 100).limit(20).collect()
+            assert [r.vec_id for r in got if r.query_id == q] == [r.vec_id for r in want]
+
+
+def test_pages_of_a_search(table):
+    q = [float(v) for v in X[3]]
+    pages = [[r.vec_id for r in page.collect()] for page, _ in zip(knn.pages(table, q, 7), range(3))]
+    assert sum(pages, []) == [r.vec_id for r in knn.knn(table, q, 21).collect()]
+    assert sum(1 for _ in knn.pages(table.where("vec_id < 5"), q, 3)) == 2
 
 
 def test_range_and_weighted(table):
@@ -103,6 +142,9 @@ def test_index_life(spark, table, tmp_path):
     assert ann.search(index, [0.5] * 8, 1).first().vec_id == 2000
     ann.delete(index, [2000])
     assert ann.search(index, [0.5] * 8, 1).first().vec_id != 2000
+    again = ann.open_index(spark.newSession(), f"file://{tmp_path}/a")
+    assert again.options == index.options and again.probes == index.probes and (again.centres == index.centres).all()
+    assert ann.search(again, [0.5] * 8, 1).first().vec_id != 2000  # deletes are stored, too
     assert ann.validate(index)["rows"] == 301
     assert ann.vacuum(index, f"file://{tmp_path}/b").table().count() == 301
     assert ann.search(index, [0.5] * 8, 40, ef=1, where="label = 1").count() == 40
@@ -157,3 +199,29 @@ def test_autotune(spark, table):
     assert got.count() == 1 and got.first().recall == 100.0
     rows = spark.createDataFrame([(0, 1, 1, 4, 90.0, 0.1, 1.0), (1, 1, 1, 4, 96.0, 0.3, 1.0), (2, 1, 1, 4, 97.0, 0.2, 1.0)], tune.RESULTS)
     assert tune.best(rows, 95).first().experiment_id == 2 and tune.best(rows, 99).first().experiment_id == 2
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cos"])
+def test_recall_of_default_options(spark, tmp_path, metric):
+    """Every row asked, without structure in the vectors, and with some."""
+    r = np.random.default_rng(6)
+    for name, x in (("flat", r.standard_normal((1500, 32))), ("lumps", r.standard_normal((30, 32))[r.integers(0, 30, 1500)] + 0.1 * r.standard_normal((1500, 32)))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        index = ann.build(df, f"file://{tmp_path}/{name}", ann.Options(metric=metric))
+        asked = df.withColumnRenamed("vec_id", "query_id")
+        found = ann.search_join(index, asked, 10)
+        assert knn.recall(knn.knn_join(asked, df, 10, metric), found, 10).first().recall >= 0.9
+        assert name == "flat" or index.probes <= len(index.centres) / 4
+        first = ann.search(index, x[0].tolist(), 10).collect()
+        assert [q.vec_id for q in first] == [q.vec_id for q in found.where("query_id = 0").orderBy("rank").collect()]
+
+
+def test_stored_bm25(spark, tmp_path):
+    docs = spark.createDataFrame([(i, ["a"] * (i % 3) + [f"w{i}"]) for i in range(40)], "doc_id long, tokens array<string>")
+    bm25.build(docs, path=f"file://{tmp_path}/b")
+    index = bm25.open_index(spark.newSession(), f"file://{tmp_path}/b")
+    assert index.n_docs == 40 and index.avg_len == 1.98
+    found = bm25.search(index, ["a", "w5"], 3)
+    assert found.first().doc_id == 5 and "PushedFilters: [In(term" in explain.masked_explain(found)
+    assert [r.doc_id for r in bm25.search(index, ["a", "w5"], 3, parameters=bm25.Parameters(b=0.0)).collect()][0] == 5
+    assert bm25.search(index, ["none"], 3).count() == 0

@@ -84,3 +84,23 @@ def test_consolidate_and_null_documents(docs):
     assert bm25.build(docs).n_docs == 5
     empty = bm25.build(docs.limit(0))
     assert empty.n_docs == 0 and bm25.search(empty, ["a"]).count() == 0
+
+
+def test_user_stop_words_are_left_out(spark):
+    df = spark.createDataFrame([("The quick fox jumps",)], "t string")
+    text.set_user_stop_words(spark, ["fox"])
+    assert df.select(text.stem_array(F.col("t"))).first()[0] == ["quick", "jump"]
+    assert df.select(text.stem_array(F.col("t"), "tsvector", "simple")).first()[0] == ["the", "quick", "jumps"]
+    text.set_user_stop_words(spark, None)
+    assert df.select(text.stem_array(F.col("t"))).first()[0] == ["quick", "fox", "jump"]
+
+
+def test_filters_by_a_plain_loop():
+    lists = [["a", "b", None, "a"], [], None, [1, 2, 3], ["x"] * 5]
+    made = bloom.make_all(lists)
+    assert made[2] is None and made[0] == bloom.make(["b", "a"]) and len(made) == 5
+    for x, f in ((x, f) for x, f in zip(lists, made) if x):
+        assert all(bloom.contains(f, v) for v in x if v is not None)
+    many = bloom.make(range(2000))
+    assert sum(bloom.contains_all([many] * 4000, list(range(5000, 9000)))) < 80
+    assert bloom.contains_all([made[0], None, made[0]], ["a", "a", None]) == [True, None, None]
