@@ -92,7 +92,10 @@ def literal(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+def _words(x: np.ndarray) -> np.ndarray:
+    """Pairs of 32-bit words as one of 64 bits."""
+    x = x.astype(np.int64).astype(np.uint32)
+    return np.ascontiguousarray(np.pad(x, ((0, 0), (0, x.shape[1] % 2)))).view(np.uint64).reshape(len(x), (x.shape[1] + 1) // 2)
 
 
 def kernel(metric: str | Metric) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -111,11 +114,10 @@ def kernel(metric: str | Metric) -> Callable[[np.ndarray, np.ndarray], np.ndarra
         return np.where(product > 0, out, np.where((nx == 0) & (nq == 0), 0.0, 1.0))
 
     def hamming(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-        x, q = x.astype(np.int64).astype(np.uint32), q.astype(np.int64).astype(np.uint32)
-        out = np.zeros((len(x), len(q)))
+        x, q = _words(x), _words(q)
+        out = np.zeros((len(x), len(q)), np.int32)
         for k in range(x.shape[1]):
-            d = x[:, k][:, None] ^ q[:, k][None, :]
-            out += _POPCOUNT[d & np.uint32(0xFFFF)].astype(np.int64) + _POPCOUNT[d >> np.uint32(16)]
-        return out
+            out += np.bitwise_count(x[:, k][:, None] ^ q[:, k][None, :])
+        return out.astype(np.float64)
 
     return {Metric.L2SQ: l2sq, Metric.COS: cos, Metric.HAMMING: hamming}[metric]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sextant.arrow import exists, map_arrays, matrix
+from sextant.arrow import BROADCAST_ROWS, exists, map_arrays, matrix
 from sextant.functions.distance import Metric, kernel
 from sextant.functions.vectors import scalar_quantize
 from sextant.operators import knn as exact
@@ -222,27 +222,41 @@ def search(index: Index, query: Sequence[float] | None, k: int = 10, ef: int | N
 def search_join(index: Index, queries: DataFrame, k: int = 10, ef: int | None = None, where: Column | str | None = None, query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
     """``query_id, id, dist, rank``: the ``k`` nearest rows in the nearest cells of each query; null vectors have none.
 
-    Each query goes to its cells, where it meets their rows in blocks of CELL_ROWS; ``where`` chooses rows.
+    Cells lie in groups of CELL_ROWS rows at most, and queries in blocks; a query goes once to each group that has some
+    of its cells, and meets the rows of these. ``where`` chooses rows.
     """
     spark, o, probes = index.spark, index.options, index.n_cells(ef)
     ship(spark)
     table = index.table()
-    rows = (table.where(where) if where is not None else table).select("cell", F.col(index.id).alias("i"), F.col(index.vector).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("w"))
-    shared = spark.sparkContext.broadcast(index.centres)
+    rows = (table.where(where) if where is not None else table).select("cell", F.col(index.id).alias("i"), F.col(index.vector).alias("v"))
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).alias("w"))
+    first, parts, n_groups = _grouped({r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}, len(index.centres))
+    ones = exact.blocks(asked.count(), exact.LARGER * BROADCAST_ROWS)
+    shared = spark.sparkContext.broadcast((index.centres, first, parts))
 
     def choose(batches):
         for batch in batches:
-            d = kernel(o.metric)(matrix(batch.column(1), shared.value.shape[1]), shared.value)
-            cells = np.argsort(d, axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
-            yield [cells.ravel().astype(np.int32), batch.column(0).take(at), batch.column(1).take(at)]
-
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema.fields])
-    sizes = {r.cell: -(-r.n // CELL_ROWS) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.element_at(F.lit([sizes.get(c, 1) for c in range(len(index.centres))]).cast("array<int>"), F.col("cell") + 1)
-    left = map_arrays(asked, choose, schema).select("cell", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<long>")).alias("part"), "q", "w")
-    right = rows.select("cell", F.pmod(F.xxhash64("i"), parts).alias("part"), "i", "v")
+            centres, first, parts = shared.value
+            for a in range(0, batch.num_rows, 1024):
+                names, w = batch.column(0).slice(a, 1024), batch.column(1).slice(a, 1024)
+                d = kernel(o.metric)(matrix(w, centres.shape[1]), centres)
+                cells = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                query, cell = np.repeat(np.arange(len(cells)), cells.shape[1]), cells.ravel()
+                again = np.repeat(np.arange(len(cell)), parts[cell])
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
+                query, cell, group = query[again], cell[again], first[cell[again]] + nth
+                order = np.lexsort((cell, group, query))
+                query, cell, group = query[order], cell[order], group[order]
+                starts = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (group[1:] != group[:-1])))
+                at = pa.array(query[starts])
+                yield [group[starts], names.take(at), w.take(at), pa.ListArray.from_arrays(pa.array(np.append(starts, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))]
+
+    schema = T.StructType([T.StructField("b", T.LongType()), *asked.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    key = exact.spread(spark, ones * n_groups)
+    of = lambda values: F.element_at(F.lit(values.tolist()).cast("array<int>"), F.col("cell") + 1)
+    left = map_arrays(asked, choose, schema).select(key(F.pmod(F.xxhash64("q"), F.lit(ones)) * n_groups + F.col("b")).alias("g"), "q", "w", "cells")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(ones - 1)).cast("array<long>")).alias("a"), (of(first) + F.pmod(F.xxhash64("i"), of(parts))).alias("b"), "cell", "i", "v")
+    right = right.select(key(F.col("a") * n_groups + F.col("b")).alias("g"), "cell", "i", "v")
     out = T.StructType([T.StructField(query_id, asked.schema["q"].dataType), T.StructField(index.id, rows.schema["i"].dataType), T.StructField("dist", T.DoubleType())])
     target = to_arrow_schema(out)
 
@@ -250,16 +264,43 @@ def search_join(index: Index, queries: DataFrame, k: int = 10, ef: int | None =
         if not one.num_rows or not two.num_rows:
             return pa.Table.from_batches([], target)
         one, two = one.combine_chunks(), two.combine_chunks()
-        q, names = matrix(one.column("w").chunk(0)), one.column("q").chunk(0)
-        tables = []
-        for a in range(0, len(q), 500):
-            best = exact._Best(k, len(q[a : a + 500]))
-            for b in two.to_batches(max_chunksize=8192):
-                best.add(b.column(b.schema.get_field_index("i")), kernel(o.metric)(matrix(b.column(b.schema.get_field_index("v")), q.shape[1]), q[a : a + 500]))
-            tables.append(pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in best.columns(names.slice(a, 500))], schema=target))
-        return pa.concat_tables(tables)
-
-    return exact.ranked(left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(meet, out), k, query_id, index.id)
+        q, names, wanted = matrix(one.column("w").chunk(0)), one.column("q").chunk(0), one.column("cells").chunk(0)
+        query, cell = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        query, cell = query[order], cell[order]
+        two = two.take(pa.array(np.argsort(two.column("cell").to_numpy(), kind="stable"))).combine_chunks()
+        cells, starts = np.unique(two.column("cell").to_numpy(), return_index=True)
+        search = exact._Search(Metric.of(o.metric), q, k)
+        for c, a, b in zip(cells, starts, [*starts[1:], two.num_rows]):
+            chosen = query[slice(*np.searchsorted(cell, [c, c + 1]))]
+            for s in range(a, b, 8192):
+                n = min(8192, b - s)
+                search.add(two.column("i").chunk(0).slice(s, n), matrix(two.column("v").chunk(0).slice(s, n), q.shape[1]), chosen)
+        tables = [pa.Table.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, target)], schema=target) for columns in search.columns(names)]
+        return pa.concat_tables(tables) if tables else pa.Table.from_batches([], target)
+
+    met = left.repartition(ones * n_groups, "g").groupBy("g").cogroup(right.repartition(ones * n_groups, "g").groupBy("g")).applyInArrow(meet, out)
+    return exact.ranked(met, k, query_id, index.id)
+
+
+def _grouped(sizes: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each of ``n`` cells its first group and how many it has, and the number of groups.
+
+    Small cells share a group of CELL_ROWS rows at most, or a sixth of all; a larger cell has several of its own.
+    """
+    most = max(1, min(CELL_ROWS, -(-sum(sizes.values()) // exact.BLOCKS)))
+    first, parts, group, held = np.zeros(n, np.int64), np.ones(n, np.int64), 0, 0
+    for c in range(n):
+        size = sizes.get(c, 0)
+        if held and held + size > most:
+            group, held = group + 1, 0
+        first[c] = group
+        if size > CELL_ROWS:
+            parts[c] = -(-size // CELL_ROWS)
+            group += int(parts[c])
+        else:
+            held += size
+    return first, parts, group + 1
 
 
 def validate(index: Index) -> dict[str, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,35 +68,155 @@ def range_search(df: DataFrame, query: Sequence[float], max_dist: float, metric:
     return with_distance(df.where(F.col(vector).isNotNull()), query, metric, vector, to).where(F.col(to) < max_dist).orderBy(to, id)
 
 
+#: Distances that are in memory at once, about; the rows and queries of a block are taken in tiles of this size.
+TILE = 1 << 20
+#: Queries of a tile at most.
+TILE_QUERIES = 1024
+
+
 class _Best:
-    """The ``k`` nearest rows of each of ``n`` queries, of blocks of rows that come one after another; ties by id."""
+    """The ``k`` nearest rows of each of ``n`` queries, of blocks of rows that come one after another; ties by id.
+
+    Rows that may be among them are kept until there are as many again as the k best of all, then ranked.
+    """
 
     def __init__(self, k: int, n: int):
-        self.k, self.edge = k, np.full(n, np.inf)
-        self.q, self.row, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.ids: pa.Array | None = None
-
-    def add(self, ids: pa.Array, d: np.ndarray) -> None:
-        """``d``: distances by row and query; those that aren't finite don't count."""
-        d = np.where(np.isfinite(d), d, np.inf)
-        edge = self.edge if len(d) <= self.k else np.minimum(self.edge, np.partition(d, self.k - 1, axis=0)[self.k - 1])
-        q, row = np.nonzero(((d <= edge) & np.isfinite(d)).T)
-        base = 0 if self.ids is None else len(self.ids)
-        self.ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
-        self.q, self.row, self.d = np.append(self.q, q), np.append(self.row, row + base), np.append(self.d, d[row, q])
-        rank = np.empty(len(self.ids), np.int64)
-        rank[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(rank))
-        order = np.lexsort((rank[self.row], self.d, self.q))
-        self.q, self.row, self.d = self.q[order], self.row[order], self.d[order]
-        starts = np.flatnonzero(np.append(True, self.q[1:] != self.q[:-1])) if len(self.q) else np.zeros(0, np.int64)
-        place = np.arange(len(self.q)) - np.repeat(starts, np.diff(np.append(starts, len(self.q))))
-        self.edge[self.q[place == self.k - 1]] = self.d[place == self.k - 1]
+        self.k, self.n, self.edge = k, n, np.full(n, np.inf)
+        self.q, self.row, self.d = [], [], []
+        self.ids: list[pa.Array] = []
+        self.rows = self.held = self.kept = 0
+
+    def put(self, ids: pa.Array, row: np.ndarray, q: np.ndarray, d: np.ndarray) -> None:
+        """Rows of ``ids`` and their distances from queries; of each query, all that may be among its k best."""
+        if not len(row):
+            return
+        used, back = np.unique(row, return_inverse=True)
+        self.q.append(q.astype(np.int64))
+        self.row.append(back + self.rows)
+        self.d.append(d)
+        self.ids.append(ids.take(pa.array(used)))
+        self.rows += len(used)
+        self.held += len(row)
+        if self.held > 2 * self.kept + self.k * self.n:
+            self.rank()
+
+    def rank(self) -> None:
+        if not self.held:
+            return
+        q, row, d, ids = np.concatenate(self.q), np.concatenate(self.row), np.concatenate(self.d), pa.concat_arrays(self.ids)
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place[row], d, q))
+        q, row, d = q[order], row[order], d[order]
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        last = place == self.k - 1
+        self.edge[q[last]] = np.minimum(self.edge[q[last]], d[last])
         keep = place < self.k
-        used, back = np.unique(self.row[keep], return_inverse=True)
-        self.q, self.d, self.row, self.ids = self.q[keep], self.d[keep], back, self.ids.take(pa.array(used))
+        used, back = np.unique(row[keep], return_inverse=True)
+        self.q, self.row, self.d, self.ids = [q[keep]], [back], [d[keep]], [ids.take(pa.array(used))]
+        self.rows, self.held = len(used), int(keep.sum())
+        self.kept = self.held
 
-    def columns(self, names: pa.Array) -> list:
-        return [names.take(pa.array(self.q)), self.ids.take(pa.array(self.row)), self.d]
+    def columns(self, names: pa.Array) -> list | None:
+        self.rank()
+        return [names.take(pa.array(self.q[0])), self.ids[0].take(pa.array(self.row[0])), self.d[0]] if self.held else None
+
+
+class _Search:
+    """The ``k`` nearest of blocks of rows for every query, in tiles of bounded memory.
+
+    Where a distance is a product of matrices, 32-bit ones find the rows that may be near enough, with a margin for
+    their error; only these rows' distances are computed in 64 bits, each by itself, so that equal vectors have equal ones.
+    """
+
+    def __init__(self, metric: Metric, q: np.ndarray, k: int):
+        self.metric, self.k, self.queries = metric, k, q
+        self.parts = [_Best(k, len(q[a : a + TILE_QUERIES])) for a in range(0, len(q), TILE_QUERIES)]
+        self.norms = np.sqrt((q * q).sum(1))
+        self.fast = metric is not Metric.HAMMING and _plain(self.norms)
+        self.left = self._laid(q, self.norms, -1 if metric is Metric.COS else -2).T if self.fast else None
+
+    def _laid(self, x: np.ndarray, norms: np.ndarray, by: int) -> np.ndarray:
+        """32-bit rows, those of queries times ``by``, and two more columns: with them a product of rows is the distance."""
+        if self.metric is Metric.COS:
+            x, ones, more = x / np.where(norms > 0, norms, 1)[:, None], np.ones(len(x)), np.zeros(len(x))
+        else:
+            ones, more = np.ones(len(x)), norms * norms
+        return np.column_stack([x * by, ones, more] if by < 0 else [x, more if self.metric is not Metric.COS else ones, ones]).astype(np.float32)
+
+    def add(self, ids: pa.Array, x: np.ndarray, chosen: np.ndarray | None = None) -> None:
+        """``chosen``: the queries that the rows are for, in order; without it, all."""
+        step = max(1, TILE // max(1, min(TILE_QUERIES, len(self.queries))))
+        for a in range(0, len(x), step):
+            rows, own = x[a : a + step], ids.slice(a, step)
+            norms = np.sqrt((rows * rows).sum(1))
+            right = self._laid(rows, norms, 1) if self.fast and _plain(norms) else None
+            for i, best in enumerate(self.parts):
+                if chosen is None:
+                    self._tile(best, own, rows, norms, right, np.arange(best.n), i * TILE_QUERIES)
+                else:
+                    start, end = np.searchsorted(chosen, [i * TILE_QUERIES, (i + 1) * TILE_QUERIES])
+                    if start < end:
+                        self._tile(best, own, rows, norms, right, chosen[start:end] - i * TILE_QUERIES, i * TILE_QUERIES)
+
+    def _tile(self, best: _Best, ids: pa.Array, x: np.ndarray, norms: np.ndarray, right: np.ndarray | None, at: np.ndarray, base: int) -> None:
+        whole = len(at) == best.n
+        own = slice(base, base + best.n) if whole else at + base
+        q = self.queries[own]
+        if right is None:
+            d, margin = kernel(self.metric)(x, q), np.zeros(len(q))
+            d[~np.isfinite(d)] = np.inf
+        else:
+            d = right @ self.left[:, own]
+            # the error of a 32-bit product of n terms is at most n + 3 units of the product of the norms
+            unit, qn = 8 * (x.shape[1] + 8) * 2.0**-24, self.norms[own]
+            if self.metric is Metric.COS:
+                if (norms == 0).any() and (qn == 0).any():
+                    d[np.ix_(norms == 0, qn == 0)] = 0
+                margin = np.full(len(q), unit)
+            else:
+                margin = unit * (norms.max(initial=0) + qn) ** 2 + 1e-36
+        edge = best.edge[at]
+        if len(d) > self.k and not np.isfinite(edge).all():
+            edge = np.minimum(edge, np.partition(d, self.k - 1, axis=0)[self.k - 1] + margin)
+            best.edge[at] = edge
+        limit = edge + margin
+        if right is not None:  # as a 32-bit number, a little above
+            limit = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+        row, of = np.divmod(np.flatnonzero(d <= limit[None, :]), len(at))
+        exact = d[row, of] if right is None else _each(self.metric, x, q, row, of)
+        keep = np.isfinite(exact) & (exact <= edge[of])
+        best.put(ids, row[keep], at[of[keep]], exact[keep])
+
+    def columns(self, names: pa.Array) -> Iterator[list]:
+        for i, best in enumerate(self.parts):
+            if (found := best.columns(names.slice(i * TILE_QUERIES, best.n))) is not None:
+                yield found
+
+
+def _plain(norms: np.ndarray) -> bool:
+    """Whether 32-bit numbers hold the squares."""
+    return bool((np.isfinite(norms) & (norms < 1e15) & ((norms == 0) | (norms > 1e-15))).all())
+
+
+def _each(metric: Metric, x: np.ndarray, q: np.ndarray, row: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """64-bit distances of pairs of rows, each summed in the order of its elements."""
+    out = np.empty(len(row))
+    step = max(1, TILE // max(1, x.shape[1]))
+    ordered = lambda v: np.add.accumulate(v, axis=1)[:, -1] if v.shape[1] else np.zeros(len(v))
+    if metric is Metric.COS:
+        nx, nq = np.sqrt(ordered(x * x)), np.sqrt(ordered(q * q))
+    for a in range(0, len(row), step):
+        r, o = row[a : a + step], of[a : a + step]
+        if metric is Metric.COS:
+            product = nx[r] * nq[o]
+            d = np.maximum(1 - ordered(x[r] * q[o]) / np.where(product > 0, product, 1), 0)
+            out[a : a + step] = np.where(product > 0, d, np.where((nx[r] == 0) & (nq[o] == 0), 0.0, 1.0))
+        else:
+            diff = x[r] - q[o]
+            out[a : a + step] = ordered(diff * diff)
+    return out
 
 
 def _within(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, metric: Metric, max_dist: float):
@@ -106,11 +226,30 @@ def _within(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, metric
         yield [names.take(pa.array(of)), ids.take(pa.array(row + a)), d[row, of]]
 
 
+#: A block of queries that are shuffled is larger by this than one that is broadcast: the fewer blocks, the less often the rows are sent.
+LARGER = 5
+#: Blocks of a large side at least, so that there are tasks for all cores; rows of such a block at least.
+BLOCKS, BLOCK_ROWS = 6, 1000
+
+
+def blocks(n: int, most: int) -> int:
+    """Of ``n`` rows, each of ``most`` rows at most, about."""
+    return max(1, -(-n // most), min(BLOCKS, n // BLOCK_ROWS))
+
+
+def spread(spark, n: int) -> Callable[[Column], Column]:
+    """A key for each number below ``n``: ``repartition`` by it into ``n`` parts gives each number a part of its own."""
+    rows = spark.range(n * 40).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).collect()
+    keys = {r.p: r.id for r in rows}
+    found = F.lit([keys.get(i, i) for i in range(n)]).cast("array<long>")
+    return lambda number: F.element_at(found, (number + 1).cast("int"))
+
+
 def _against(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str, vector: str, id: str, chunk: int, block: int, compare) -> DataFrame:
     """``query_id, id, dist`` of what ``compare(names, queries, batches)`` finds.
 
     Up to ``chunk`` queries are broadcast and ``df`` isn't shuffled. More are split, like ``df``, in blocks by
-    hash; each pair of blocks meets in one task.
+    hash; each pair of blocks meets in a task of its own.
     """
     spark = df.sparkSession
     ship(spark)
@@ -128,9 +267,11 @@ def _against(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str
                 yield from compare(names, q, ((b.column(0), matrix(b.column(1), q.shape[1])) for b in batches))
 
         return map_arrays(base, run, schema)
-    ones, twos = -(-n // chunk), max(1, -(-base.count() // block))
-    left = wanted.select(F.pmod(F.xxhash64("q"), F.lit(ones)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(twos - 1)).cast("array<long>")).alias("b"), "q", "v")
-    right = base.select(F.explode(F.sequence(F.lit(0), F.lit(ones - 1)).cast("array<long>")).alias("a"), F.pmod(F.xxhash64("_id"), F.lit(twos)).alias("b"), "_id", "_v")
+    ones, twos = blocks(n, LARGER * chunk), blocks(base.count(), block)
+    key = spread(spark, ones * twos)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
+    left = wanted.select(F.pmod(F.xxhash64("q"), F.lit(ones)).alias("a"), every(twos).alias("b"), "q", "v").select(key(F.col("a") * twos + F.col("b")).alias("g"), "q", "v")
+    right = base.select(every(ones).alias("a"), F.pmod(F.xxhash64("_id"), F.lit(twos)).alias("b"), "_id", "_v").select(key(F.col("a") * twos + F.col("b")).alias("g"), "_id", "_v")
     target = to_arrow_schema(schema)
 
     def pair(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -142,7 +283,7 @@ def _against(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str
             found = [pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, target)], schema=target) for columns in compare(one.column("q").chunk(0), q, batches)]
         return pa.Table.from_batches(found, target)
 
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, schema)
+    return left.repartition(ones * twos, "g").groupBy("g").cogroup(right.repartition(ones * twos, "g").groupBy("g")).applyInArrow(pair, schema)
 
 
 def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "l2sq", query_id: str = "query_id", query_vector: str = "embedding", vector: str = "embedding", id: str = "vec_id", chunk: int = BROADCAST_ROWS, block: int = 100_000) -> DataFrame:
@@ -154,11 +295,10 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "l2sq", qu
     metric = Metric.of(metric)
 
     def compare(names, q, batches):
-        best = _Best(k, len(q))
+        search = _Search(metric, q, k)
         for ids, x in batches:
-            best.add(ids, kernel(metric)(x, q))
-        if best.ids is not None:
-            yield best.columns(names)
+            search.add(ids, x)
+        yield from search.columns(names)
 
     return ranked(_against(queries, df, query_id, query_vector, vector, id, chunk, block, compare), k, query_id, id)
 
@@ -179,6 +319,23 @@ def range_join(queries: DataFrame, df: DataFrame, max_dist: float, metric: str =
     return _against(queries, df, query_id, query_vector, vector, id, chunk, block, compare)
 
 
+def _weigh(best: _Best, ids: pa.Array, x: np.ndarray, q: np.ndarray, weights: np.ndarray, metric: Metric, max_dist: float | None) -> None:
+    """``q``: by query and weight. What may be near enough is computed again, each pair by itself, so that equal vectors have equal sums."""
+    n, many = q.shape[:2]
+    d = (kernel(metric)(x, q.reshape(n * many, -1)).reshape(len(x), n, many) * weights).sum(2)
+    d[~np.isfinite(d)] = np.inf
+    scale = np.abs(weights).sum() * (1 if metric is Metric.COS else (np.sqrt((x * x).sum(1).max(initial=0)) + np.sqrt((q * q).sum(2).max(initial=0))) ** 2)
+    margin = 0.0 if metric is Metric.HAMMING else scale * (x.shape[1] + 8) * 2.0**-50
+    if max_dist is not None:
+        d[d > max_dist + margin] = np.inf
+    if len(d) > best.k and not np.isfinite(best.edge).all():
+        best.edge = np.minimum(best.edge, np.partition(d, best.k - 1, axis=0)[best.k - 1] + margin)
+    row, of = np.divmod(np.flatnonzero((d <= best.edge + margin) & np.isfinite(d)), n)
+    exact = d[row, of] if metric is Metric.HAMMING else sum(w * _each(metric, x, q[:, i], row, of) for i, w in enumerate(weights))
+    keep = np.isfinite(exact) & (exact <= best.edge[of]) & (exact < max_dist if max_dist is not None else True)
+    best.put(ids, row[keep], of[keep], exact[keep])
+
+
 def weighted_join(queries: DataFrame, df: DataFrame, weights: Sequence[float], k: int, metric: str = "cos", query_id: str = "query_id", query_vectors: str = "vectors", vector: str = "embedding", id: str = "vec_id", ef: int | None = None, max_dist: float | None = None) -> DataFrame:
     """``query_id, id, dist, rank`` of the ``k`` rows with the least weighted sum of distances from the vectors of each query (an array of them).
 
@@ -189,17 +346,18 @@ def weighted_join(queries: DataFrame, df: DataFrame, weights: Sequence[float], k
     flat = queries.select(query_id, F.flatten(F.transform(query_vectors, lambda v: v.cast("array<double>"))).alias("_q"))
 
     def compare(names, q, batches):
-        q = q.reshape(len(q) * many, -1)
-        best = _Best(k, len(names)) if ef is None else _Best(ef, len(names) * many)
+        q = q.reshape(len(q), many, -1)
+        step = max(1, TILE_QUERIES // many)
+        parts = [(_Best(k, len(q[a : a + step])), q[a : a + step], names.slice(a, step)) for a in range(0, len(q), step)]
         for ids, x in batches:
-            d = kernel(metric)(x[:, : q.shape[1]], q)
-            if ef is None:
-                total = (d.reshape(len(x), -1, many) * weights).sum(2)
-                best.add(ids, np.where(total < max_dist, total, np.inf) if max_dist is not None else total)
-            else:
-                best.add(ids, d)
-        if best.ids is not None:
-            yield best.columns(names if ef is None else names.take(pa.array(np.repeat(np.arange(len(names)), many))))
+            x = x[:, : q.shape[2]]
+            for a in range(0, len(x), TILE // TILE_QUERIES):
+                rows, own = x[a : a + TILE // TILE_QUERIES], ids.slice(a, TILE // TILE_QUERIES)
+                for best, asked, _ in parts:
+                    _weigh(best, own, rows, asked, weights, metric, max_dist)
+        for best, _, of in parts:
+            if (found := best.columns(of)) is not None:
+                yield found
 
     if ef is None:
         wide = df.withColumn(vector, F.flatten(F.array_repeat(F.col(vector).cast("array<double>"), many)))  # as long as the queries, which are laid end to end

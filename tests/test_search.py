@@ -225,3 +225,69 @@ def test_stored_bm25(spark, tmp_path):
     assert found.first().doc_id == 5 and "PushedFilters: [In(term" in explain.masked_explain(found)
     assert [r.doc_id for r in bm25.search(index, ["a", "w5"], 3, parameters=bm25.Parameters(b=0.0)).collect()][0] == 5
     assert bm25.search(index, ["none"], 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cos", "hamming"])
+def test_tiles_are_of_bounded_memory_and_right(metric):
+    """Of many queries and rows, some of them equal or zero; ties by id."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.standard_normal((6000, 16)) * 50)
+    x[4000:4500] = x[:500]
+    x[7] = x[4999] = 0
+    ids, names = rng.permutation(6000), pa.array(np.arange(3000))
+    tracemalloc.start()
+    search = knn._Search(knn.Metric.of(metric), x[:3000], 5)
+    for a in (0, 2500):
+        search.add(pa.array(ids[a : 2500 if not a else None]), x[a : 2500 if not a else None])
+    found = list(search.columns(names))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6  # all distances of 3,500 rows at once are 84 MB, and as much again several times over
+    got = {}
+    for q, i, _ in found:
+        for a, b in zip(q.to_pylist(), i.to_pylist()):
+            got.setdefault(a, []).append(b)
+    for q in (0, 7, 499, 2999):
+        y = x[q]
+        if metric == "hamming":
+            d = np.array([sum(((int(u) ^ int(v)) & 0xFFFFFFFF).bit_count() for u, v in zip(r, y)) for r in x])
+        elif metric == "l2sq":
+            d = ((x - y) ** 2).sum(1)
+        else:
+            d = knn._each(knn.Metric.COS, x, y[None], np.arange(len(x)), np.zeros(len(x), int))
+        assert got[q] == ids[np.lexsort((ids, d))[:5]].tolist()
+
+
+def test_equal_vectors_are_ranked_by_id(spark):
+    """Of twenty queries, equal rows have equal distances and sums, wherever they lie."""
+    v = np.random.default_rng(9).standard_normal((40, 24)).astype(np.float32)
+    rows = [(1000 - i, [float(z) for z in v[i % 40]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = df.where("vec_id > 980").withColumnRenamed("vec_id", "query_id")
+    pairs = asked.select("query_id", F.array("embedding", "embedding").alias("vectors"))
+    for found in (knn.knn_join(asked, df, 30, "cos"), knn.knn_join(asked, df, 30), knn.weighted_join(pairs, df, [0.7, 0.3], 30)):
+        by = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            by.setdefault(r.query_id, []).append(r.vec_id)
+        assert len(by) == 20
+        for q, ids in by.items():
+            assert len(ids) == 30 and all(ids[a : a + 10] == sorted(ids[a : a + 10]) and len({i % 40 for i in ids[a : a + 10]}) == 1 for a in (0, 10, 20))
+
+
+def test_search_join_in_blocks_and_groups(spark, table, tmp_path, monkeypatch):
+    """All rows as queries of all cells give what brute force does, with cells in groups and with a cell in parts."""
+    index = ann.build(table, f"{tmp_path}/index", ann.Options(nlist=9))
+    index.probes = 9
+    asked = table.where("vec_id < 300").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = {(r.query_id, r.vec_id, r.rank) for r in knn.knn_join(asked, table, 4).collect()}
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    for rows in (65_536, 20):
+        monkeypatch.setattr(ann, "CELL_ROWS", rows)
+        assert {(r.query_id, r.vec_id, r.rank) for r in ann.search_join(index, asked, 4).collect()} == want
+    monkeypatch.setattr(ann, "CELL_ROWS", 40)
+    first, parts, n = ann._grouped({0: 10, 1: 100, 2: 30, 3: 9, 4: 1, 5: 25}, 6)
+    assert parts.tolist() == [1, 3, 1, 1, 1, 1] and n == first.max() + 1 and len({0, 1, 2, 3, *first.tolist()}) >= 4
