@@ -134,3 +134,13 @@ def test_written_vectors_are_of_32_bit_products(spark, tmp_path):
     spark.createDataFrame([(7, x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     row = catalogue.queries()["ivecs_round_trip"](spark, str(tmp_path)).first()
     assert row.vec_id == 7 and row.vector == np.floor(np.array(x, np.float32) * np.float32(1000)).astype(int).tolist()
+
+
+def test_stems_of_arrays_with_nulls_and_in_slices():
+    import pyarrow as pa
+
+    lists = pa.array([["running", "the", None], None, [], ["dogs", "running"], ["x"]])
+    f = lambda w: None if w == "the" else text.stem(w)
+    assert text._mapped(lists, f).to_pylist() == [["run"], None, [], ["dog", "run"], ["x"]]
+    assert text._mapped(lists.slice(2, 2), f).to_pylist() == [[], ["dog", "run"]]
+    assert text._mapped(lists.slice(0, 0), f).to_pylist() == []
