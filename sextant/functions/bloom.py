@@ -7,12 +7,16 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEED, FALSE_POSITIVES = 42, 0.01
+#: Elements that are looked up at once, about.
+SLICE = 1 << 18
 _MASK = 2**64 - 1
 
 
@@ -102,3 +106,47 @@ def elem_in_bloom(element: Column, bloom: Column) -> Column:
         return pd.Series(contains_all(list(b), list(x)), dtype=object)
 
     return run(element, bloom)
+
+
+def elems_in_bloom(elements: Column, bloom: Column) -> Column:
+    """Of each element of an array whether the filter may have it, in order: the filter is sent once, not with each element."""
+
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    def run(lists: pa.Array, filters: pa.Array) -> pa.Array:
+        found = [_among(f, w) for f, w in _rows(lists, filters)]
+        good, there = (np.concatenate([*x, np.zeros(0, bool)]) for x in (zip(*found) if found else ((), ())))
+        ends = np.cumsum([0, *pc.fill_null(lists.value_lengths(), 0).to_pylist()]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(good, mask=~there), mask=pc.is_null(lists))
+
+    return run(elements, bloom)
+
+
+def _rows(lists: pa.Array, filters: pa.Array):
+    """Each row's filter, and its elements' two hashes and whether they are there; in slices, of which every different element is hashed once."""
+    lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    ends, a = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        part = lists.slice(a, b - a)
+        flat = part.flatten().dictionary_encode()
+        there = pc.is_valid(flat.indices).to_numpy(zero_copy_only=False)
+        which = pc.fill_null(flat.indices, 0).to_numpy(zero_copy_only=False)
+        hashed = np.array([_hash(x) if x is not None and x == x else (0, 1) for x in flat.dictionary.to_pylist()] or [(0, 1)], np.uint64)
+        for i in range(b - a):
+            own = slice(ends[a + i] - ends[a], ends[a + i + 1] - ends[a])
+            w = hashed[which[own]]
+            yield filters[a + i].as_py(), (w[:, 0], w[:, 1], there[own])
+        a = b
+
+
+def _among(filter_: bytes | None, w: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each element whether the filter may have it, and whether that can be said."""
+    a, b, there = w
+    if filter_ is None:
+        return np.zeros(len(a), bool), np.zeros(len(a), bool)
+    hashes, bits = struct.unpack("<I", filter_[:4])[0], np.frombuffer(filter_, np.uint8, offset=4)
+    good = np.ones(len(a), bool)
+    for i in range(hashes):
+        place = (a + np.uint64(i) * b) % np.uint64(len(bits) * 8)
+        good &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1) > 0
+    return good, there

@@ -144,3 +144,18 @@ def test_stems_of_arrays_with_nulls_and_in_slices():
     assert text._mapped(lists, f).to_pylist() == [["run"], None, [], ["dog", "run"], ["x"]]
     assert text._mapped(lists.slice(2, 2), f).to_pylist() == [[], ["dog", "run"]]
     assert text._mapped(lists.slice(0, 0), f).to_pylist() == []
+
+
+def test_elements_of_arrays_in_filters(spark, tmp_path):
+    """As asked one by one; a document's filter isn't sent with each of its words, and no row is multiplied."""
+    from sextant.plans import catalogue
+
+    df = spark.createDataFrame([(1, ["a", "b", None], ["a", "q", None]), (2, [], ["a"]), (3, None, ["a"]), (4, ["z"], None), (5, ["y"], [])], "i int, s array<string>, w array<string>")
+    made = df.select("i", "w", bloom.array_to_bloom(F.col("s")).alias("f"))
+    got = {r.i: r.x for r in made.select("i", bloom.elems_in_bloom(F.col("w"), F.col("f")).alias("x")).collect()}
+    assert got == {1: [True, False, None], 2: [False], 3: [None], 4: None, 5: []}
+    spark.createDataFrame([(1, "one two two"), (2, ""), (3, " ".join(f"w{i}" for i in range(3000)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.queries()["bloom_membership"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 2, True), (3, 3000, 3000, True)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
