@@ -12,13 +12,19 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sextant.arrow import shared_dir
+from sextant.arrow import map_arrays, shared_dir
 from sextant.functions import bloom
 
 K1, B, THRESHOLD = 1.2, 0.75, 8000
+#: Postings of one term that are shuffled in one row at most; words that are counted at once, about.
+RUN, SLICE_WORDS = 128, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,25 +44,73 @@ class Index:
     terms: DataFrame  # term, df
     n_docs: int
     avg_len: float
+    runs: DataFrame | None = None  # term, ids, fqs, lens: postings that lie together, of an index that isn't stored
 
 
 def build(df: DataFrame, id: str = "doc_id", tokens: str = "tokens", write: bool = True, path: str | None = None) -> Index:
     """Index of a column of token arrays, below ``path`` or in a folder of its own. Null arrays count as documents without words; the mean length has two decimals."""
     spark = df.sparkSession
     docs = df.select(F.col(id).alias("doc_id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("t"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("t")) * 100).alias("a")).first()
-    long = docs.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("fq"), F.first("doc_len").alias("doc_len"))
-    postings = long.select("term", "doc_id", "fq", "doc_len")
+    runs = _runs(docs)
+    p = runs.select("term", F.explode(F.arrays_zip("ids", "fqs", "lens")).alias("p"))
+    postings = p.select("term", F.col("p.ids").alias("doc_id"), F.col("p.fqs").alias("fq"), F.col("p.lens").alias("doc_len"))
     if not write:
-        return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.n, (stats.a or 0.0) / 100)
+        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("t")) * 100).alias("a")).first()
+        return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.n, (stats.a or 0.0) / 100, runs)
     path = path or f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
-    # ranges of term and document: a term of very many documents is spread over several files
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    spark.createDataFrame([(stats.n, (stats.a or 0.0) / 100)], "n_docs long, avg_len double").coalesce(1).write.parquet(f"{path}/stats")
+    # ranges of term and document: a term of very many documents is spread over several files; runs are shuffled, as each has its term once
+    ranged = runs.repartitionByRange("term", F.col("ids")[0]).select("term", F.explode(F.arrays_zip("ids", "fqs", "lens")).alias("p"))
+    ranged = ranged.select("term", F.col("p.ids").alias("doc_id"), F.col("p.fqs").alias("fq"), F.col("p.lens").alias("doc_len"))
+    ranged.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    # the words of all documents are those of the postings
+    n, words = docs.count(), stored.agg(F.sum("fq")).first()[0] or 0
+    mean = spark.range(1).select(F.round(F.lit(words / n if n else 0.0) * 100)).first()[0]
+    spark.createDataFrame([(n, mean / 100)], "n_docs long, avg_len double").coalesce(1).write.parquet(f"{path}/stats")
     return open_index(spark, path)
 
 
+def _runs(docs: DataFrame) -> DataFrame:
+    """``term, ids, fqs, lens``: postings by term, RUN of them in a row at most.
+
+    Words are counted within their document, without a shuffle; only where an id has several rows, their words are
+    brought together first.
+    """
+    ids = docs.select("doc_id")
+    if ids.distinct().count() < ids.count():
+        long = docs.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("fq"), F.first("doc_len").alias("doc_len"))
+        return long.select("term", F.array("doc_id").alias("ids"), F.array("fq").alias("fqs"), F.array("doc_len").alias("lens"))
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("fqs", T.ArrayType(T.IntegerType())), T.StructField("lens", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            ends, a = np.concatenate([[0], np.cumsum(lengths)]), 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_WORDS, "right")) - 1)
+                if ends[b] > ends[a]:
+                    yield _count(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lengths[a:b])
+                a = b
+
+    return map_arrays(docs, run, schema)
+
+
+def _count(ids: pa.Array, lists: pa.Array, lengths: np.ndarray) -> list:
+    words = lists.flatten().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(ids).to_numpy()
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    pairs, fqs = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, lengths), return_counts=True)
+    term, row = pairs // len(ids), order[pairs % len(ids)]
+    starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    nth = np.arange(len(term)) - np.repeat(starts, np.diff(np.append(starts, len(term))))
+    starts = np.flatnonzero(nth % RUN == 0)
+    edges = pa.array(np.append(starts, len(term)).astype(np.int32))
+    columns = (ids.take(pa.array(row)), pa.array(fqs.astype(np.int32)), pa.array(lengths[row].astype(np.int32)))
+    return [words.dictionary.take(pa.array(term[starts])), *[pa.ListArray.from_arrays(edges, c) for c in columns]]
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """An index that was built below ``path``, by any session."""
     stats = spark.read.parquet(f"{path}/stats").first()
@@ -65,11 +119,20 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 def packed(index: Index, threshold: int = THRESHOLD) -> DataFrame:
     """One row a term, documents in order of id; terms of more than ``threshold`` documents have a Bloom filter of them."""
-    lists = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "fq", "doc_len"))).alias("p"))
+    runs = index.runs if index.runs is not None else index.postings.select("term", F.array("doc_id").alias("ids"), F.array("fq").alias("fqs"), F.array("doc_len").alias("lens"))
+    lists = _merged(runs)
     out = lists.select("term", F.size("p").alias("term_freq"), F.size("p").alias("doc_ids_len"), F.col("p.doc_id").alias("doc_ids"), F.col("p.fq").alias("fqs"), F.col("p.doc_len").alias("doc_lens"))
     return out.withColumn("doc_ids_bloom", bloom.array_to_bloom(F.when(F.col("doc_ids_len") > threshold, F.col("doc_ids"))))
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """``term, p``: all postings of a term in order. The arrays are shuffled as they are, and zipped where they meet."""
+    met = runs.groupBy("term").agg(F.collect_list(F.struct("ids", "fqs", "lens")).alias("r"))
+    each = F.flatten(F.transform("r", lambda x: F.arrays_zip(x["ids"], x["fqs"], x["lens"])))
+    each = F.transform(each, lambda x: F.struct(x["ids"].alias("doc_id"), x["fqs"].alias("fq"), x["lens"].alias("doc_len")))
+    return met.select("term", F.sort_array(each).alias("p"))
+
+
 def unpack(df: DataFrame) -> DataFrame:
     """Long form of ``packed`` rows; rows of one term may be several."""
     p = df.select("term", F.explode(F.arrays_zip("doc_ids", "fqs", "doc_lens")).alias("p"))
@@ -78,7 +141,7 @@ def unpack(df: DataFrame) -> DataFrame:
 
 def consolidate(parts: DataFrame) -> DataFrame:
     """Packed rows of the same term as one row."""
-    lists = unpack(parts).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "fq", "doc_len"))).alias("p"))
+    lists = _merged(parts.select("term", F.col("doc_ids").alias("ids"), "fqs", F.col("doc_lens").alias("lens")))
     return lists.select("term", F.size("p").alias("term_freq"), F.size("p").alias("doc_ids_len"), F.col("p.doc_id").alias("doc_ids"), F.col("p.fq").alias("fqs"), F.col("p.doc_len").alias("doc_lens"))
 
 

@@ -159,3 +159,23 @@ def test_elements_of_arrays_in_filters(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {(1, 2, 2, True), (3, 3000, 3000, True)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_index_counts_within_documents(spark, tmp_path):
+    """Many documents of a term, null words and ids of several rows, by a plain count; unique ids need no shuffle."""
+    from collections import Counter
+
+    rows = [(i, ["all", f"w{i % 7}", "all" if i % 2 else None]) for i in range(400)] + [(900, None), (901, [])]
+    for extra in ([], [(3, ["all", "w3"])]):
+        df = spark.createDataFrame(rows + extra, "doc_id long, tokens array<string>").repartition(3)
+        want = Counter((t, i) for i, x in rows + extra for t in x or [])
+        for write in (True, False):
+            index = bm25.build(df, write=write, path=f"{tmp_path}/{len(extra)}" if write else None)
+            assert {(r.term, r.doc_id): r.fq for r in index.postings.collect()} == want
+            assert (index.n_docs, index.avg_len) == (402 + len(extra), round(sum(want.values()) / (402 + len(extra)), 2))
+            packed = {r.term: (r.doc_ids, r.fqs) for r in bm25.packed(index).collect()}
+            ids = sorted(i for t, i in want if t == "all")
+            assert packed["all"] == (ids, [want["all", i] for i in ids]) and None in packed
+            assert {r.term: r.df for r in index.terms.collect()} == Counter(t for t, _ in want)
+        if not extra:
+            assert "hashpartitioning" not in index.runs._jdf.queryExecution().executedPlan().toString()
